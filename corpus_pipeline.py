@@ -9,13 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import language, minhash, toxicity
+import public_tokenizers
+
+from eventide.llm import language, minhash, mixing, packing, toxicity
 from eventide.llm.common import stored
 
 #: A document whose toxicity score reaches this goes.
 TOXIC = 0.5
 #: A document of which no language holds this share of its words goes, as does one without words.
 MAIN_LANGUAGE = 0.5
+#: Sources, in code point order, are mixed in these proportions, repeating.
+WEIGHTS = (1, 2, 3)
+CAPACITY = 4096
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +45,22 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix itself: each document as often as the mix holds it, as repeated rows."""
+    return mixing.mixed(docs, WEIGHTS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each piece of each document, with its sequence and its place there."""
+    return packing.pack_documents(docs, VOCABULARY, CAPACITY)
+
+
 STAGES = [
     ("toxicity", toxicity_stage),
     ("language", language_stage),
     ("near_duplicates", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
 ]
 
 
