@@ -4,8 +4,8 @@ Units are words, or code points where a text is short or hardly spaced. A k-mer
 is k units in a row; it is a closed syncmer if the smallest hash among its s-mers
 lies at its first or last s-mer. Whether a k-mer is chosen depends on the k-mer
 alone, so an edit changes the anchors that touch it and no others. A fingerprint
-lists the chosen k-mers' 32-bit hashes in the order of the text; in texts with
-fewer than k units each unit is an anchor, texts without units have none.
+lists the chosen k-mers' 32-bit hashes in the order of the text; in texts of
+very few units each unit is an anchor, texts without units have none.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ SHORT, LONG, SPARSE = 300, 600, 40
 WORD_K, WORD_S, CHAR_K, CHAR_S = 8, 3, 8, 6
 
 
-def _syncmers(units: Column, k: int, s: int) -> Column:
+def _syncmers(units: Column, k: int, s: int, least: int) -> Column:
+    """Anchors of a list of units; lists of fewer than ``least`` have each unit as one."""
     hashed = F.transform(units, lambda u: F.xxhash64(u))
 
     def smers(h: Column) -> Column:
@@ -49,7 +50,7 @@ def _syncmers(units: Column, k: int, s: int) -> Column:
     few = F.transform(units, lambda u: F.hash(u))
     # each array is bound once: transform over one element stands for a let-expression
     bound = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    return F.when(F.size(units) < k, few).otherwise(bound(hashed, lambda h: bound(smers(h), chosen)))
+    return F.when(F.size(units) < least, few).otherwise(bound(hashed, lambda h: bound(smers(h), chosen)))
 
 
 def anchors(text: Column) -> Column:
@@ -63,8 +64,8 @@ def anchors(text: Column) -> Column:
 
     def pick(w: Column) -> Column:
         sparse = length > SPARSE * F.size(w)
-        of_characters = F.when((length < LONG) | sparse, _syncmers(characters, CHAR_K, CHAR_S)).otherwise(none)
-        of_words = F.when((length >= SHORT) & ~sparse, _syncmers(w, WORD_K, WORD_S)).otherwise(none)
+        of_characters = F.when((length < LONG) | sparse, _syncmers(characters, CHAR_K, CHAR_S, 2 * CHAR_K)).otherwise(none)
+        of_words = F.when((length >= SHORT) & ~sparse, _syncmers(w, WORD_K, WORD_S, WORD_K)).otherwise(none)
         return F.concat(of_characters, of_words)
 
     return F.element_at(F.transform(F.array(words), pick), 1)
