@@ -192,8 +192,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     cluster = components(buckets.join(leaders, "bucket").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
     sizes = cluster.groupBy("component").agg(F.count("*").alias("members"))
     cluster = cluster.join(sizes, "component")
-    # texts of clustered representatives alone are moved
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(cluster.select(F.col("node").alias("id"), "component", "members"), "id")
+    # the same plan at every size: neither side is bounded
+    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(cluster.select(F.col("node").alias("id"), "component", "members").hint("merge"), "id")
     if cluster.where(F.col("members") > block).isEmpty():
         small = texts
         links = confirm(small.select(F.struct("component").alias("group"), "id", F.lit(0).alias("side"), "text"), size, percent, False)
