@@ -81,13 +81,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def with_next(rows: DataFrame, id_col: str, columns: list[str], per_cell: int = 1000) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, columns: list[str], order: list[str], per_cell: int = 1000) -> DataFrame:
     """Each row with ``next_<column>`` of the row after it by id; after the last comes the first.
 
     Ids are dealt into cells of equal width, halved in width until none is
     crowded; each cell also gets a copy of the first row of the next one. Only ids
     are read to lay out the cells, and rows move once, to their cell. Rows of one id
-    stand in the order of ``columns``; null ids come first.
+    stand in the order of ``order``; null ids come first.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62)))
     ids = rows.select(key.alias("k"))
@@ -103,17 +103,17 @@ def with_next(rows: DataFrame, id_col: str, columns: list[str], per_cell: int =
             break
         cells *= 8
     firsts = ids.groupBy(place(cells).alias("c")).agg(F.min("k").alias("first"))
-    order = Window.partitionBy(F.lit(0)).orderBy("c")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ahead = Window.partitionBy(F.lit(0)).orderBy("c")
+    whole = ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # the cell before each; the first cell's row goes to the last cell
-    firsts = stored(firsts.select("first", F.coalesce(F.lag("c").over(order), F.max("c").over(whole)).alias("to")), "cells")
+    firsts = stored(firsts.select("first", F.coalesce(F.lag("c").over(ahead), F.max("c").over(whole)).alias("to")), "cells")
     named = rows.withColumn("k", key)
     own = named.withColumn("c", place(cells)).withColumn("copy", F.lit(0))
     if firsts.count() <= 1_000_000:
         firsts = F.broadcast(firsts)  # at most a million rows of 16 bytes
     halo = named.join(firsts, F.col("k") == F.col("first")).withColumn("c", F.col("to")).withColumn("copy", F.lit(1)).drop("first", "to")
     both = own.unionByName(halo)
-    line = Window.partitionBy("c").orderBy("copy", "k", *columns)
+    line = Window.partitionBy("c").orderBy("copy", "k", *order)
     found = both.select("*", *[F.lead(c).over(line).alias(f"next_{c}") for c in columns])
     return found.where("copy = 0").drop("k", "c", "copy")
 
@@ -132,10 +132,12 @@ def edited_likeness(documents: DataFrame, id_col: str = "doc_id", text_col: str
     edited_fingerprint, near_edited, near_next.
     """
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(rows, "id", ["text"])
+    # anchors are made before rows move, and move with them: each text is read twice, not three times
+    rows = rows.withColumn("a", anchors(F.col("text")))
+    rows = with_next(rows, "id", ["text", "a"], ["text"])
     n = F.char_length("text").cast("long")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.left(F.col("text"), n.cast("int") - cut), F.left(F.col("next_text"), cut))
-    rows = rows.select("id", "text", "next_text", n.alias("n_chars"), edited.alias("edited"))
-    rows = rows.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), anchors(F.col("text")).alias("a"), anchors(F.col("edited")).alias("e"), anchors(F.col("next_text")).alias("x"))
+    rows = rows.select("id", n.alias("n_chars"), edited.alias("edited"), "a", F.col("next_a").alias("x"))
+    rows = rows.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", anchors(F.col("edited")).alias("e"), "x")
     return rows.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", as_string(F.col("a")).alias("fingerprint"), as_string(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("x")).alias("near_next"))
