@@ -79,8 +79,8 @@ class _LatestJoin(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = tuple(self.state.get()) if self.state.exists() else None
         out, names = [], [f"r_{c}" for c in self.right]
-        for row in _rows(rows, [TS, "__side", SEQ]):
-            if row["__side"] == 0:
+        for row in _rows(rows, [TS, "side__", SEQ]):
+            if row["side__"] == 0:
                 found = tuple(row[n] for n in names)
                 if any(x is not None for x in found):
                     now = found
@@ -99,7 +99,7 @@ def _both(left: DataFrame, right: DataFrame, keys: list[str], left_values: list[
 
     def tagged(df: DataFrame, side: int, own: str) -> DataFrame:
         columns = [(F.col(c) if own == s else F.lit(None).cast(kinds[s, c])).alias(f"{s}_{c}") for s, cs in (("l", left_values), ("r", right_values)) for c in cs]
-        return df.select(TS, SEQ, *extra, *keys, F.lit(side).alias("__side"), *columns)
+        return df.select(TS, SEQ, *extra, *keys, F.lit(side).alias("side__"), *columns)
 
     return tagged(left, 1, "l").unionByName(tagged(right, 0, "r"))
 
@@ -130,12 +130,12 @@ class _DebouncedJoin(StatefulProcessor):
         n = len(self.left)
         now = list(self.state.get()) if self.state.exists() else [None] * len(names)
         at, out = self.timer.get()[0] if self.timer.exists() else None, []
-        for row in _rows(rows, [TS, "__side", SEQ]):
+        for row in _rows(rows, [TS, "side__", SEQ]):
             ts = int(row[TS])
             if at is not None and ts >= at and ts > at - 1:  # its time had come before this event
                 if any(x is not None for x in now[:n]):
                     out.append({TS: at, SEQ: 0} | dict(zip(self.keys, key)) | dict(zip(names, now)))
-            part = slice(0, n) if row["__side"] == 1 else slice(n, None)
+            part = slice(0, n) if row["side__"] == 1 else slice(n, None)
             found = [row[c] for c in names[part]]
             if any(x is not None for x in found):
                 now[part] = found
