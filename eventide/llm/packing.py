@@ -17,57 +17,108 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, stored, text_slices
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
-#: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+#: Distinct words whose ids a Python worker remembers: twice this at most.
+REMEMBERED = 250_000
+#: A word of letters that stay single letters when normalised, and ASCII punctuation behind it that joins
+#: none (no apostrophe). Other words are encoded whole.
+PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-įıĲ-ňŊ-ſА-я]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 
-_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
 
+class WordIds:
+    """The ids of words, remembered, for vocabularies in which white space ends every token.
 
-def word_ids(path: str, words: list[str]) -> list[bytes]:
-    """The ids of each word as little-endian unsigned 32-bit integers.
-
-    White space ends every token of these vocabularies, so a text's ids are those
-    of its white-space separated words, one after another.
+    Words of letters alone are encoded many at a time, as one text; their last
+    ids tell them apart. If those do not number the words, each is encoded alone.
     """
-    if path not in _tokenizers:
+
+    def __init__(self, path: str):
         import os
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _tokenizers[path]
-    fresh = [w for w in words if w not in known]
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = words
-    for at in range(0, len(fresh), 4096):
-        part = fresh[at : at + 4096]
-        for word, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-    found = [known[w] for w in words]
-    if len(known) > REMEMBERED:
-        known.clear()
-    return found
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, words: list[str], letters: bool) -> list[bytes]:
+        new, old = self.new, self.old
+        fresh = []
+        for w in words:
+            if w not in new:
+                if w in old:
+                    new[w] = old[w]
+                else:
+                    fresh.append(w)
+        for at in range(0, len(fresh), 2048):
+            self._encode(fresh[at : at + 2048], letters)
+        found = [new[w] for w in words]
+        if len(new) > REMEMBERED:
+            self.old, self.new = new, {}
+        return found
+
+    def _encode(self, words: list[str], letters: bool) -> None:
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                data, edges = ids.tobytes(), (ends * 4).tolist()
+                self.new.update(zip(words, (data[a:b] for a, b in zip([0, *edges], edges))))
+                return
+        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.new[word] = array("I", got.ids).tobytes()
+
+
+_known: dict[str, WordIds] = {}
+
+
+def vocabulary_ids(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one after another, number of ids of each)."""
+    if path not in _known:
+        _known[path] = WordIds(path)
+    known = _known[path]
+    parts = pc.extract_regex(words, PLAIN)
+    plain = parts.is_valid().to_numpy(zero_copy_only=False)
+    core = pc.ascii_lower(parts.field("core").filter(parts.is_valid())).dictionary_encode()  # as normalising does
+    tail = parts.field("tail").filter(parts.is_valid()).dictionary_encode()
+    tables = [known.find(core.dictionary.to_pylist(), True), known.find(tail.dictionary.to_pylist(), False), known.find(words.filter(pa.array(~plain)).to_pylist(), False)]
+    flat = np.frombuffer(b"".join(x for t in tables for x in t), "<u4")
+    sizes = np.fromiter((len(x) // 4 for t in tables for x in t), np.int64, sum(map(len, tables)))
+    first = np.cumsum(sizes) - sizes
+    # each word is a core and a tail, or one other; its entries in the tables, -1 for none
+    entry = np.full((len(words), 2), -1, np.int64)
+    at = np.flatnonzero(plain)
+    entry[at, 0] = core.indices.to_numpy(zero_copy_only=False)
+    entry[at, 1] = len(tables[0]) + tail.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    entry[~plain, 0] = len(tables[0]) + len(tables[1]) + np.arange(len(words) - len(at))
+    used = entry.ravel()
+    span = np.where(used >= 0, sizes[used], 0) if len(sizes) else np.zeros(len(used), np.int64)
+    begin = np.where(used >= 0, first[used], 0) if len(sizes) else span
+    where = np.repeat(begin - (np.cumsum(span) - span), span) + np.arange(span.sum())
+    return flat[where], span.reshape(-1, 2).sum(1)
 
 
 def text_ids(path: str, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
     """The ids of each text, then ``end_id``; a null text is empty."""
     words = Words(texts, lower="")
-    found = word_ids(path, words.vocabulary.to_pylist())
-    flat, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter((len(b) // 4 for b in found), np.int64, len(found))
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
+    flat, sizes = vocabulary_ids(path, words.vocabulary)
+    first = np.cumsum(sizes) - sizes
     for a, n in zip(words.starts, words.counts):
         codes = words.codes[a : a + n]
         span = sizes[codes]
