@@ -27,13 +27,23 @@ def _ddl(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
 
 
-def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> list[dict[str, Any]]:
+def _integers(df: DataFrame) -> list[str]:
+    """Columns of whole numbers: pandas turns those with nulls into floats."""
+    return [c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint")]
+
+
+def _rows(batches: Iterator[pd.DataFrame], order: list[str], integers: list[str]) -> list[dict[str, Any]]:
     frames = [b for b in batches if len(b)]
     if not frames:
         return []
     rows = pd.concat(frames, ignore_index=True)
     rows = rows.sort_values(order, kind="stable")
-    return rows.astype(object).where(rows.notna(), None).to_dict("records")
+    found = rows.astype(object).where(rows.notna(), None).to_dict("records")
+    for row in found:
+        for c in integers:
+            if row.get(c) is not None:
+                row[c] = int(row[c])
+    return found
 
 
 def _frame(rows: list[dict[str, Any]], columns: list[str]) -> pd.DataFrame:
@@ -41,7 +51,8 @@ def _frame(rows: list[dict[str, Any]], columns: list[str]) -> pd.DataFrame:
 
 
 class _RunningFold(StatefulProcessor):
-    def __init__(self, step: Callable, zero: Any, value: str, name: str, columns: list[str], state: str):
+    def __init__(self, step: Callable, zero: Any, value: str, name: str, columns: list[str], state: str, integers: list[str]):
+        self.integers = integers
         self.step, self.zero, self.value, self.name, self.columns, self.kind = step, zero, value, name, columns, state
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -50,7 +61,7 @@ class _RunningFold(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = self.state.get()[0] if self.state.exists() else self.zero
         out = []
-        for row in _rows(rows, [TS, SEQ]):
+        for row in _rows(rows, [TS, SEQ], self.integers):
             now = self.step(now, row[self.value])
             out.append(row | {self.name: now})
         if now is not None:
@@ -66,11 +77,12 @@ def running_stream(df: DataFrame, keys: list[str], value: str, monoid: Monoid, n
     if monoid.step is None:
         raise ValueError(f"{monoid.name} has no Python step")
     out = f"{_ddl(df, df.columns)}, `{name}` {result_type}"
-    return df.groupBy(*keys).transformWithStateInPandas(_RunningFold(monoid.step, zero, value, name, df.columns, result_type), out, "append", "None")
+    return df.groupBy(*keys).transformWithStateInPandas(_RunningFold(monoid.step, zero, value, name, df.columns, result_type, _integers(df)), out, "append", "None")
 
 
 class _LatestJoin(StatefulProcessor):
-    def __init__(self, keys: list[str], left: list[str], right: list[str], state: str):
+    def __init__(self, keys: list[str], left: list[str], right: list[str], state: str, integers: list[str]):
+        self.integers = integers
         self.keys, self.left, self.right, self.kind = keys, left, right, state
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -79,7 +91,7 @@ class _LatestJoin(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = tuple(self.state.get()) if self.state.exists() else None
         out, names = [], [f"r_{c}" for c in self.right]
-        for row in _rows(rows, [TS, "side__", SEQ]):
+        for row in _rows(rows, [TS, "side__", SEQ], self.integers):
             if row["side__"] == 0:
                 found = tuple(row[n] for n in names)
                 if any(x is not None for x in found):
@@ -113,11 +125,12 @@ def latest_left_stream(left: DataFrame, right: DataFrame, keys: list[str], left_
     both = _both(left, right, keys, left_values, right_values, [])
     state = ", ".join(f"`{c}` {dict(right.dtypes)[c]}" for c in right_values)
     columns = [TS, SEQ, *keys, *[f"l_{c}" for c in left_values], *[f"r_{c}" for c in right_values]]
-    return both.groupBy(*keys).transformWithStateInPandas(_LatestJoin(keys, left_values, right_values, state), _ddl(both, columns), "append", "None")
+    return both.groupBy(*keys).transformWithStateInPandas(_LatestJoin(keys, left_values, right_values, state, _integers(both)), _ddl(both, columns), "append", "None")
 
 
 class _DebouncedJoin(StatefulProcessor):
-    def __init__(self, keys: list[str], left: list[str], right: list[str], state: str, latency: int):
+    def __init__(self, keys: list[str], left: list[str], right: list[str], state: str, latency: int, integers: list[str]):
+        self.integers = integers
         self.keys, self.left, self.right, self.kind, self.latency = keys, left, right, state, latency
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -130,9 +143,9 @@ class _DebouncedJoin(StatefulProcessor):
         n = len(self.left)
         now = list(self.state.get()) if self.state.exists() else [None] * len(names)
         at, out = self.timer.get()[0] if self.timer.exists() else None, []
-        for row in _rows(rows, [TS, "side__", SEQ]):
+        for row in _rows(rows, [TS, "side__", SEQ], self.integers):
             ts = int(row[TS])
-            if at is not None and ts >= at and ts > at - 1:  # its time had come before this event
+            if at is not None and ts >= at:  # its time had come before this event
                 if any(x is not None for x in now[:n]):
                     out.append({TS: at, SEQ: 0} | dict(zip(self.keys, key)) | dict(zip(names, now)))
             part = slice(0, n) if row["side__"] == 1 else slice(n, None)
@@ -171,11 +184,12 @@ def debounced_left_stream(left: DataFrame, right: DataFrame, keys: list[str], le
     names = [*[f"l_{c}" for c in left_values], *[f"r_{c}" for c in right_values]]
     state = _ddl(both, names)
     columns = [TS, SEQ, *keys, *names]
-    return both.groupBy(*keys).transformWithStateInPandas(_DebouncedJoin(keys, left_values, right_values, state, latency_ms), _ddl(both, columns), "append", "eventTime")
+    return both.groupBy(*keys).transformWithStateInPandas(_DebouncedJoin(keys, left_values, right_values, state, latency_ms, _integers(both)), _ddl(both, columns), "append", "eventTime")
 
 
 class _Trailing(StatefulProcessor):
-    def __init__(self, window: TrailingWindow, value: str, body: Callable, name: str, columns: list[str], state: str):
+    def __init__(self, window: TrailingWindow, value: str, body: Callable, name: str, columns: list[str], state: str, integers: list[str]):
+        self.integers = integers
         self.window, self.value, self.body, self.name, self.columns, self.kind = window, value, body, name, columns, state
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -184,7 +198,7 @@ class _Trailing(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kept = [(int(t), v) for t, v in self.state.get()] if self.state.exists() else []
         out = []
-        for row in _rows(rows, [TS, SEQ]):
+        for row in _rows(rows, [TS, SEQ], self.integers):
             ts = int(row[TS])
             at = len(kept)
             while at and kept[at - 1][0] > ts:  # after those of its own time
@@ -209,6 +223,6 @@ def trailing_stream(df: DataFrame, keys: list[str], window: TrailingWindow, valu
     the newest event) and changes no earlier one. A None result drops the event.
     """
     kind = dict(df.dtypes)[value]
-    return df.groupBy(*keys).transformWithStateInPandas(_Trailing(window, value, body, name, df.columns, kind), f"{_ddl(df, df.columns)}, `{name}` {result_type}", "append", "None")
+    return df.groupBy(*keys).transformWithStateInPandas(_Trailing(window, value, body, name, df.columns, kind, _integers(df)), f"{_ddl(df, df.columns)}, `{name}` {result_type}", "append", "None")
 
 
