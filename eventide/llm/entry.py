@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import fingerprints, language, minhash, mixing, neighbours, packing, toxicity, warc
+from . import fingerprints, language, minhash, mixing, neighbours, packing, quality, toxicity, warc
 from .common import fold
 
 #: The vocabulary file of op3; every operator that takes one has it as a parameter.
@@ -45,6 +45,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.judge(documents, quality.fit(documents))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_neighbours": op7_neighbours,
     "op8_mixing": op8_mixing,

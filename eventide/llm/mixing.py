@@ -86,8 +86,10 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), copies: int
     u = random_unit(F.col("id"), salt)
     p = F.least(F.greatest(F.col("scale") * F.pow(F.greatest("size", F.lit(1)).cast("double"), F.lit(-tilt)), F.lit(1e-9)), F.lit(1 - 1e-9))
     joined = joined.withColumn("q", (u / (1 - u)) / (p / (1 - p)))
-    # q / (1 + q) is spread over (0, 1): bins of like size
-    joined = joined.withColumn("bin", F.when(F.col("size") == 0, F.lit(-1) - F.pmod(F.xxhash64("id"), F.col("bins")).cast("int")).otherwise(F.floor(F.col("q") / (1 + F.col("q")) * F.col("bins")).cast("int")))
+    # against the odds of the source's mean size q is spread like u: bins of like size
+    middle = F.least(F.greatest(F.col("scale") * F.pow(F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1.0)), F.lit(-tilt)), F.lit(1e-9)), F.lit(1 - 1e-9))
+    spread = F.col("q") * middle / (1 - middle)
+    joined = joined.withColumn("bin", F.when(F.col("size") == 0, F.lit(-1) - F.pmod(F.xxhash64("id"), F.col("bins")).cast("int")).otherwise(F.least(F.floor(spread / (1 + spread) * F.col("bins")), F.col("bins") - 1).cast("int")))
     inner = Window.partitionBy("sid", "bin").orderBy("q", "size", "id")
     sums = joined.groupBy("sid", "bin").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("sid").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
