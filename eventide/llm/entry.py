@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import fingerprints, language, minhash, mixing, neighbours, packing, quality, toxicity, warc
+from . import fingerprints, language, minhash, mixing, neighbours, ngrams, packing, quality, toxicity, warc
 from .common import fold
 
 #: The vocabulary file of op3; every operator that takes one has it as a parameter.
@@ -62,6 +62,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngrams.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_neighbours": op7_neighbours,
     "op8_mixing": op8_mixing,
+    "op9_katz": op9_katz,
     "op10_fingerprints": op10_fingerprints,
 }
 
