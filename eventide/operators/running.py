@@ -36,10 +36,14 @@ def running(df: DataFrame, keys: list[str], folds: dict[str, tuple[Monoid, Colum
         if monoid.native:
             made[name] = monoid.native(value).over(window)
         else:
-            made[name] = F.aggregate(F.collect_list(F.struct(value.alias("v"))).over(window), monoid.zero(), lambda a, x, m=monoid: m.plus(a, x["v"]))
+            made[name] = _folded(monoid, F.collect_list(F.struct(value.alias("v"))).over(window))
     return df.withColumns(made)
 
 
+def _folded(monoid: Monoid, values: Column) -> Column:
+    return F.aggregate(values, monoid.zero(), lambda state, x: monoid.plus(state, x["v"]))
+
+
 def _running_split(df: DataFrame, keys: list[str], folds: dict[str, tuple[Monoid, Column]], order: list[str | Column] | None, split_ms: int) -> DataFrame:
     if any(m.native is None or m.join is None for m, _ in folds.values()):
         raise ValueError("only monoids with a native aggregate can be split by time")
