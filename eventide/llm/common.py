@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker takes apart at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Distinct words whose n-grams are made at a time.
+WORDS_AT_ONCE = 8192
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -67,6 +72,27 @@ def _delete_all() -> None:
             return
 
 
+def text_source(documents: DataFrame, *columns) -> DataFrame:
+    """``documents.select(*columns)`` for a Python function over texts.
+
+    Arrow batches go by bytes, not by 10,000 rows: 8 MB at most (or one row), where
+    the session has Spark's default of 64 MB.
+    """
+    conf = documents.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) in ("67108864b", "64MB", "64m"):
+        conf.set(BATCH_BYTES, "8m")
+    return documents.select(*columns)
+
+
+def give_back() -> None:
+    """Return memory that allocators keep to the system: a worker lives on through many tasks and operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        return
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches cut so that each has about SLICE_BYTES of text, or one row."""
     for batch in batches:
@@ -77,6 +103,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *edges], [*edges, batch.num_rows]):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 class Words:
@@ -114,12 +141,30 @@ class Words:
 def ngram_table(words: pa.Array, sizes: tuple[int, ...], buckets: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of ``<word>``, and the whole word if asked for.
 
-    Returns (word index, bucket), both sorted by word. Equal n-grams of one size
-    have equal buckets, in every process.
+    Returns (word index, bucket) as 32-bit integers, sorted by word. Equal n-grams
+    of one size have equal buckets, in every process. Words are taken some at a
+    time, as the steps need far more memory than their result.
     """
-    strings = words.to_pylist()
-    if not strings:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts = [_ngrams(words.slice(at, WORDS_AT_ONCE).to_pylist(), sizes, buckets, whole) for at in range(0, len(words), WORDS_AT_ONCE)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    owners = [owner + np.int32(k * WORDS_AT_ONCE) for k, (owner, _) in enumerate(parts)]
+    return np.concatenate(owners), np.concatenate([bucket for _, bucket in parts])
+
+
+def gram_sums(words: pa.Array, sizes: tuple[int, ...], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the n-grams' rows of ``weights`` for each word, number of n-grams of each word)."""
+    sums, counts = np.zeros((len(words), weights.shape[1])), np.zeros(len(words), np.int64)
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        strings = words.slice(at, WORDS_AT_ONCE).to_pylist()
+        owner, bucket = _ngrams(strings, sizes, len(weights), True)
+        for k in range(weights.shape[1]):
+            sums[at : at + len(strings), k] = np.bincount(owner, weights[bucket, k], len(strings))
+        counts[at : at + len(strings)] = np.bincount(owner, minlength=len(strings))
+    return sums, counts
+
+
+def _ngrams(strings: list[str], sizes: tuple[int, ...], buckets: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(f"<{w}>" for w in strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, strings), np.int64, len(strings)) + 2
     owner = np.repeat(np.arange(len(strings)), lengths)
@@ -139,9 +184,9 @@ def ngram_table(words: pa.Array, sizes: tuple[int, ...], buckets: int, whole: bo
         total = np.add.reduceat(points * base, np.cumsum(lengths) - lengths)
         owners.append(np.arange(len(strings)))
         found.append(mix(total) % np.uint64(buckets))
-    owners, found = np.concatenate(owners), np.concatenate(found).astype(np.int64)
-    order = np.argsort(owners, kind="stable")
-    return owners[order], found[order]
+    owner, bucket = np.concatenate(owners).astype(np.int32), np.concatenate(found).astype(np.int32)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], bucket[order]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, letters_only, ngram_table, sampled, text_slices
+from .common import Words, gram_sums, letters_only, ngram_table, sampled, text_slices, text_source
 
 SIZES = (1, 2, 3, 4)
 CHUNK = 64
@@ -40,9 +40,7 @@ class WordField:
         """Log potentials of each word, and whether it has a letter (else all zero)."""
         clean = letters_only(vocabulary)
         has = pc.binary_length(clean).to_numpy(zero_copy_only=False) > 0
-        owner, bucket = ngram_table(clean, SIZES, len(self.weights))
-        out = np.stack([np.bincount(owner, self.weights[bucket, k], len(clean)) for k in range(len(self.languages))], 1)
-        grams = np.bincount(owner, minlength=len(clean))
+        out, grams = gram_sums(clean, SIZES, self.weights)
         return np.where(has[:, None], out / np.sqrt(np.maximum(grams, 1))[:, None], 0), has
 
     def expected(self, texts: pa.Array) -> np.ndarray:
@@ -227,21 +225,21 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", ke
     return train(texts["text"].tolist(), texts["lang"].tolist(), **options)
 
 
-def predict(documents: DataFrame, model: WordField, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(documents: DataFrame, model: WordField, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Columns ``keep`` (the id, if none are named), ``lang_pred`` and ``score``.
 
-    One row per input row; texts that are null, empty or without a letter get
+    ``prefix`` goes before new names, where kept columns have the same ones. One row per input row; texts that are null, empty or without a letter get
     ``und`` and score 0. ``score`` is the share of the text's words expected to be
     in the predicted language. No shuffle.
     """
     keep = keep if keep is not None else [id_col]
-    source = documents.select(*keep, F.col(text_col).alias("__text"))
+    source = text_source(documents, *keep, F.col(text_col).alias("__text"))
     shipped = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "__text"):
             name, value = shipped.value.predict(part.column("__text"))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], name, pa.array(value)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], name, pa.array(value)], [*keep, f"{prefix}lang_pred", f"{prefix}score"])
 
-    schema = source.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = source.drop("__text").schema.add(f"{prefix}lang_pred", "string").add(f"{prefix}score", "double")
     return source.mapInArrow(run, schema)

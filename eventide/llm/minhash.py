@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, stored, text_slices
+from .common import Words, mix, stored, text_slices, text_source
 from .components import components
 
 ROWS = 8
@@ -105,7 +105,7 @@ def sketches(documents: DataFrame, id_col: str, text_col: str, size: int, bands:
                 keys.append(known[digest])
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "set_key", "bands"])
 
-    source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = text_source(documents, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "id long, n_shingles long, set_key binary, bands array<long>")
 
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, stored, text_slices
+from .common import Words, stored, text_slices, text_source
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 #: Distinct words whose ids a Python worker remembers: twice this at most.
@@ -135,7 +135,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: i
     Columns: ``id_col``, piece (from 0), start, length, ids_crc32, and with
     ``with_ids`` the ids themselves.
     """
-    source = documents.select(F.col(id_col), F.col(text_col).alias("text"))
+    source = text_source(documents, F.col(id_col), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):

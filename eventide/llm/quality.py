@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, sampled, text_slices
+from .common import Words, mix, sampled, text_slices, text_source
 
 #: (measure, bad below, bad above, good from, good to): between them a labeller abstains.
 LABELLERS = (
@@ -122,7 +122,7 @@ class Texts:
 class WeakLabels:
     """What EM found: the share of good texts, and each labeller's chances of a bad vote, none and a good one, for bad and for good texts."""
 
-    def __init__(self, votes: np.ndarray, counts: np.ndarray, rounds: int = 200):
+    def __init__(self, votes: np.ndarray, counts: np.ndarray, rounds: int = 200, belief: float = BELIEF_WEIGHT):
         k = votes.shape[1]
         one_hot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)  # pattern, labeller, vote
         margin = np.where(votes == MISSING, 0, votes).sum(1)
@@ -130,7 +130,7 @@ class WeakLabels:
         self.share, self.chances = 0.5, np.full((2, k, 3), 1 / 3)
         for _ in range(rounds):
             weights = np.stack([(1 - good) * counts, good * counts])
-            self.chances = np.einsum("yp,pkv->ykv", weights, one_hot) + BELIEF[:, None, :] * (BELIEF_WEIGHT * counts.sum() + 1)
+            self.chances = np.einsum("yp,pkv->ykv", weights, one_hot) + BELIEF[:, None, :] * (belief * counts.sum() + 1)
             self.chances /= self.chances.sum(2, keepdims=True)
             self.share = (weights[1].sum() + 1) / (counts.sum() + 2)
             before, good = good, self.posterior(votes)
@@ -186,7 +186,7 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     ``sample_rows`` bounds the scorer's rows, ``sample_chars`` the length of a text
     in it (longer ones are left out of the sample, not cut).
     """
-    source = documents.select(F.col(text_col).alias("text"))
+    source = text_source(documents, F.col(text_col).alias("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -202,19 +202,19 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     return QualityModel(labels, *train_scorer(texts, labels.posterior(Texts(texts).votes())))
 
 
-def judge(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def judge(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Columns ``keep`` (the id, if none are named), ``posterior``, ``score`` and ``good``.
 
-    One row per input row; null and empty texts are judged as texts without words. No shuffle.
+    ``prefix`` goes before new names, where kept columns have the same ones. One row per input row; null and empty texts are judged as texts without words. No shuffle.
     """
     keep = keep if keep is not None else [id_col]
-    source = documents.select(*keep, F.col(text_col).alias("__text"))
+    source = text_source(documents, *keep, F.col(text_col).alias("__text"))
     shipped = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "__text"):
             posterior, score = shipped.value.judge(part.column("__text"))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(posterior), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "posterior", "score", "good"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(posterior), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, f"{prefix}posterior", f"{prefix}score", f"{prefix}good"])
 
-    schema = source.drop("__text").schema.add("posterior", "double").add("score", "double").add("good", "integer")
+    schema = source.drop("__text").schema.add(f"{prefix}posterior", "double").add(f"{prefix}score", "double").add(f"{prefix}good", "integer")
     return source.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, letters_only, ngram_table, sampled, text_slices
+from .common import Words, gram_sums, letters_only, ngram_table, sampled, text_slices, text_source
 
 SIZES = (3, 4, 5, 6)
 
@@ -40,10 +40,8 @@ class SubwordSoftmax:
         """Of each word its summand, and whether it has letters (others do not count)."""
         clean = letters_only(vocabulary)
         has = pc.binary_length(clean).to_numpy(zero_copy_only=False) > 0
-        owner, bucket = ngram_table(clean, SIZES, len(self.weights))
-        total = np.bincount(owner, self.weights[bucket], len(clean))
-        grams = np.bincount(owner, minlength=len(clean))
-        return np.where(has, total / np.maximum(grams, 1), 0), has
+        total, grams = gram_sums(clean, SIZES, self.weights[:, None])
+        return np.where(has, total[:, 0] / np.maximum(grams, 1), 0), has
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """Of each text: highest window log odds, mean window probability, mean log odds, log of the word count."""
@@ -110,7 +108,7 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 17, width: i
     reading's constant is moved where the sample's share differs.
     """
     if len(texts) == 0 or labels.min() == labels.max():
-        share = prior if prior is not None else (float(labels.mean()) if len(labels) else 0.5)
+        share = prior if prior is not None else (float(labels.mean()) if len(labels) else 0.0)
         share = min(max(share, 1e-6), 1 - 1e-6)
         return SubwordSoftmax(np.zeros(buckets), float(np.log(share / (1 - share))), window)
     half = np.arange(len(texts)) % 2
@@ -205,20 +203,20 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return train(rows["text"].tolist(), rows["y"].to_numpy(np.int64), prior=prior if counts else None, **options)
 
 
-def score(documents: DataFrame, model: SubwordSoftmax, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(documents: DataFrame, model: SubwordSoftmax, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Columns ``keep`` (the id, if none are named), ``score`` and ``predicted``.
 
-    One row per input row; null and empty texts get the score of the bias alone.
+    ``prefix`` goes before new names, where kept columns have the same ones. One row per input row; null and empty texts get the score of the bias alone.
     No shuffle: texts are read once, in slices of bounded size.
     """
     keep = keep if keep is not None else [id_col]
-    source = documents.select(*keep, F.col(text_col).alias("__text"))
+    source = text_source(documents, *keep, F.col(text_col).alias("__text"))
     shipped = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "__text"):
             value = shipped.value.scores(part.column("__text"))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], [*keep, f"{prefix}score", f"{prefix}predicted"])
 
-    schema = source.drop("__text").schema.add("score", "double").add("predicted", "integer")
+    schema = source.drop("__text").schema.add(f"{prefix}score", "double").add(f"{prefix}predicted", "integer")
     return source.mapInArrow(run, schema)
