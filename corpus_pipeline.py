@@ -21,19 +21,21 @@ MAIN_LANGUAGE = 0.5
 #: Sources, in code point order, are mixed in these proportions, repeating.
 WEIGHTS = (1, 2, 3)
 CAPACITY = 4096
+#: Goes before the names of columns that a stage adds and drops again.
+OWN = "stage__"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from ``labels``, does not reject."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, keep=docs.columns).where(F.col("score") < TOXIC).select(*docs.columns)
+    return toxicity.score(docs, model, keep=docs.columns, prefix=OWN).where(F.col(f"{OWN}score") < TOXIC).select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language, by a field learnt from the texts that name one."""
-    found = language.predict(docs, language.fit(docs), keep=docs.columns)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MAIN_LANGUAGE)).select(*docs.columns)
+    found = language.predict(docs, language.fit(docs), keep=docs.columns, prefix=OWN)
+    return found.where((F.col(f"{OWN}lang_pred") != language.UNKNOWN) & (F.col(f"{OWN}score") >= MAIN_LANGUAGE)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
