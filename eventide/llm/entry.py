@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import fingerprints, language, minhash, mixing, neighbours, ngrams, packing, quality, toxicity, warc
+from . import fingerprints, language, minhash, mixing, neighbours, ngrams, oracles, packing, quality, toxicity, warc
 from .common import fold
 
 #: The vocabulary file of op3; every operator that takes one has it as a parameter.
@@ -84,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_warc": oracles.OP6, "op7_neighbours": oracles.OP7, "op8_mixing": oracles.OP8}

@@ -1,0 +1,29 @@
+import pytest
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, score double, component long"
+
+
+@pytest.fixture(scope="session")
+def awkward(spark):
+    """Documents with nulls in every column, empty and long texts, ties, repeated rows and clashing columns."""
+    long = " ".join(f"word{i % 997}" for i in range(40_000))
+    rows = [
+        (1, "the quick brown fox jumps over the lazy dog", "en", "a", 43, "x", 0.5, 1),
+        (1, "the quick brown fox jumps over the lazy dog", "en", "a", 43, "x", 0.5, 1),
+        (2, None, None, None, None, None, None, None),
+        (3, "", "en", "a", 0, "x", 0.5, 1),
+        (4, " \t\n ", "de", "b", 3, "x", 0.5, 1),
+        (5, long, "en", "b", len(long), "x", 0.5, 1),
+        (6, "1234 !!! 5678", "fr", None, 5, "x", 0.5, 1),
+        (7, "straße ÉÉ \U0001f600 naïve café", "de", "c", 4, "x", 0.5, 1),
+        (8, "a", "en", "c", 1, "x", 0.5, 1),
+        (9, "the quick brown fox jumps over the lazy dog", "en", "c", 43, "x", 0.5, 1),
+        (None, "no id here at all", "en", "a", 1, "x", 0.5, 1),
+        (10, "x" * 50_000, "en", "a", 1, "x", 0.5, 1),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
