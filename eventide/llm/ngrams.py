@@ -35,24 +35,38 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, stored, text_slices
+from .common import Words, give_back, mix, stored, text_slices, text_source
 
 #: Counts up to this are discounted.
 K = 5
 END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0xE6546B64A5A5C3D7)
 CHUNK_BYTES = 16 << 20
 
-CHUNK = "chunk long, ids binary, train binary, sizes binary, vocabulary binary, counts binary, codes binary"
+CHUNK = "chunk long, ids binary, train binary, sizes binary, vocabulary binary, counts binary, ranking binary, codes binary"
 ASK = "part int, chunk long, keys binary, a binary, b binary, c binary"
 ANSWER = "kind string, part int, chunk long, x binary, y binary, z binary"
 
 
 def packed(values: np.ndarray, dtype: str) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values.astype(dtype)).tobytes(), 1)
+    """Values compressed byte by byte of their width: small numbers leave whole planes of zeros."""
+    planes = np.ascontiguousarray(values.astype(dtype)).view(np.uint8).reshape(-1, np.dtype(dtype).itemsize).T
+    return zstandard.compress(np.ascontiguousarray(planes), 1)
 
 
 def unpacked(data: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), dtype)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and each key's number among them, as 32-bit integers."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return ranked[fresh], number
 
 
 def short(hashes: np.ndarray) -> bytes:
@@ -124,18 +138,23 @@ def make_chunk(texts: pa.Array, ids: np.ndarray, train: np.ndarray, number: int)
     hashes = pd.util.hash_array(np.array(words.vocabulary.to_pylist(), object), categorize=False) if len(words.vocabulary) else np.zeros(0, np.uint64)
     vocabulary, code = np.unique(np.append(mix(hashes), END), return_inverse=True)
     sizes = words.counts + 1
-    ends = np.cumsum(sizes) - 1
-    codes = np.full(int(sizes.sum()), code[-1], np.int64)
+    codes = np.full(int(sizes.sum()), code[-1], np.int32)
     inside = np.ones(len(codes), bool)
-    inside[ends] = False
-    codes[inside] = code[:-1][words.codes]
-    counts = np.bincount(codes, np.repeat(train, sizes), len(vocabulary)).astype(np.int64)
-    return {"chunk": number, "ids": packed(ids, "<i8"), "train": packed(train, "u1"), "sizes": packed(sizes, "<u4"), "vocabulary": vocabulary.astype("<u8").tobytes(), "counts": packed(counts, "<u4"), "codes": packed(codes, "<u4")}
+    inside[np.cumsum(sizes) - 1] = False
+    codes[inside] = code[:-1].astype(np.int32)[words.codes]
+    del words, inside
+    used = np.bincount(codes, minlength=len(vocabulary))
+    counts = np.bincount(codes[np.repeat(train, sizes)], minlength=len(vocabulary))
+    # codes are stored as ranks by frequency, which pack well
+    ranking = np.argsort(-used, kind="stable").astype(np.int32)
+    rank = np.empty(len(ranking), np.int32)
+    rank[ranking] = np.arange(len(ranking), dtype=np.int32)
+    return {"chunk": number, "ids": packed(ids, "<i8"), "train": packed(train, "u1"), "sizes": packed(sizes, "<u4"), "vocabulary": vocabulary.astype("<u8").tobytes(), "counts": packed(counts, "<u4"), "ranking": packed(ranking, "<u4"), "codes": packed(rank[codes], "<u4")}
 
 
 def chunked(rows: DataFrame) -> DataFrame:
     """Chunks of (row, train, text) rows; a task cuts its rows at CHUNK_BYTES of text."""
-    schema = pa.schema([("chunk", pa.int64()), *[(c, pa.binary()) for c in ("ids", "train", "sizes", "vocabulary", "counts", "codes")]])
+    schema = pa.schema([("chunk", pa.int64()), *[(c, pa.binary()) for c in ("ids", "train", "sizes", "vocabulary", "counts", "ranking", "codes")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, TaskContext.get().partitionId() << 32
@@ -152,10 +171,11 @@ def chunked(rows: DataFrame) -> DataFrame:
             if size >= CHUNK_BYTES:
                 yield made()
                 held, size, number = [], 0, number + 1
+                give_back()
         if held:
             yield made()
 
-    return rows.select("row", "train", "text").mapInArrow(run, CHUNK)
+    return text_source(rows, "row", "train", "text").mapInArrow(run, CHUNK)
 
 
 def bounds(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -214,28 +234,33 @@ class Pairs:
 
     def __init__(self, row: dict, word_counts: np.ndarray, plan: Plan):
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
-        self.codes = unpacked(row["codes"], "<u4").astype(np.int64)
+        self.codes = unpacked(row["ranking"], "<u4").astype(np.int32)[unpacked(row["codes"], "<u4")]
         self.sizes = unpacked(row["sizes"], "<u4").astype(np.int64)
         self.train = unpacked(row["train"], "u1")
         self.word_counts = word_counts
         self.history_counts = np.append(word_counts, plan.texts)  # the last is the start of a text
-        n, start = len(self.vocabulary), len(self.vocabulary)
-        before = np.empty_like(self.codes)
-        before[1:] = self.codes[:-1]
-        before[np.cumsum(self.sizes) - self.sizes] = start
-        pair, code = np.unique(before * (n + 1) + self.codes, return_inverse=True)
-        history, word = pair // (n + 1), pair % (n + 1)
-        hashes = np.append(self.vocabulary, START)
+        self.hashes = np.append(self.vocabulary, START)
+        n = np.int64(len(self.vocabulary))  # also the code of the start
+        key = np.empty(len(self.codes), np.int64)
+        key[1:] = self.codes[:-1]
+        key[np.cumsum(self.sizes) - self.sizes] = n
+        key *= n + 1
+        key += self.codes
+        pair, code = numbered(key)
+        del key
+        history, word = (pair // (n + 1)).astype(np.int32), (pair % (n + 1)).astype(np.int32)
+        del pair
+        place = self.hashes[history]
         hot = self.history_counts[history] >= plan.hot_from
-        place = np.where(hot, mix(hashes[history] ^ (hashes[word] * np.uint64(0x9E3779B97F4A7C15))), hashes[history])
-        part = (place >> np.uint64(32)) * np.uint64(plan.parts) >> np.uint64(32)
-        order = np.lexsort((word, history, part))
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        self.history, self.word, self.part, self.code = history[order], word[order], part[order].astype(np.int64), back[code]
-        self.hashes = hashes
-        self.counts = np.bincount(self.code, np.repeat(self.train, self.sizes), len(order)).astype(np.int64)
-        self.edges = np.searchsorted(self.part, np.arange(plan.parts + 1))
+        place[hot] = mix(place[hot] ^ (self.hashes[word[hot]] * np.uint64(0x9E3779B97F4A7C15)))
+        part = ((place >> np.uint64(32)) * np.uint64(plan.parts) >> np.uint64(32)).astype(np.int32)
+        del place, hot
+        order = np.argsort(part, kind="stable")  # within a partition by history, then word
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        self.history, self.word, self.code = history[order], word[order], back[code]
+        self.edges = np.searchsorted(part[order], np.arange(plan.parts + 1))
+        self.counts = np.bincount(self.code[np.repeat(self.train, self.sizes) > 0], minlength=len(order)).astype(np.int32)
 
     def runs(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct histories of a stretch of pairs, and where each begins."""
@@ -265,6 +290,8 @@ def ask_pairs(plan: Plan):
                 keys = pairs.hashes[history].astype("<u8").tobytes()
                 head = packed(np.concatenate([[len(history)], np.diff([*first, b - a]), hot]), "<u4")
                 out.append({"part": p, "chunk": row["chunk"], "keys": keys, "a": head, "b": short(pairs.hashes[pairs.word[a:b]]), "c": packed(np.concatenate([pairs.counts[a:b], pairs.word_counts[pairs.word[a:b]]]), "<u4")})
+            del pairs
+        give_back()
         return pa.Table.from_pylist(out, ASK_SCHEMA)
 
     return run
@@ -288,25 +315,28 @@ def answer_pairs(plan: Plan):
             own, spans = np.frombuffer(r["keys"], "<u8"), head[1 : n + 1]
             histories.append(own)
             hot.append(head[n + 1 :])
-            run_of.append(np.repeat(np.arange(base, base + n), spans))
+            run_of.append(np.repeat(np.arange(base, base + n, dtype=np.int32), spans))
             words.append(long(r["b"]))
-            both = unpacked(r["c"], "<u4").astype(np.int64)
+            both = unpacked(r["c"], "<u4").astype(np.int32)
             counts.append(both[: len(both) // 2])
             word_counts.append(both[len(both) // 2 :])
-            shape.append((n, len(words[-1])))
+            shape.append((n, len(both) // 2))
             base += n
-        distinct, code = np.unique(np.concatenate(histories), return_inverse=True)
+        distinct, code = numbered(np.concatenate(histories))
         is_hot = np.zeros(len(distinct), bool)
         is_hot[code] = np.concatenate(hot) > 0
         h, w = code[np.concatenate(run_of)], np.concatenate(words)
+        del run_of, words, histories
         order = np.lexsort((w, h))
-        hs, ws = h[order], w[order]
-        fresh = np.concatenate([[True], (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])])
-        number = np.cumsum(fresh) - 1
-        group = np.empty(len(order), np.int64)
-        group[order] = number
+        h, w = h[order], w[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+        del w
+        group = np.empty(len(order), np.int32)
+        group[order] = np.cumsum(fresh, dtype=np.int32) - 1
         total = np.bincount(group, np.concatenate(counts)).astype(np.int64)
-        own_h, own_c = hs[fresh], np.concatenate(word_counts)[order][fresh]
+        own_h, own_c = h[fresh], np.concatenate(word_counts)[order[fresh]]
+        del h, order, fresh, counts, word_counts
         few = np.zeros((len(distinct), K), np.int64)
         for r in range(1, K + 1):
             few[:, r - 1] = np.bincount(own_h[total == r], minlength=len(distinct))
@@ -319,6 +349,7 @@ def answer_pairs(plan: Plan):
         if is_hot.any():
             out.append({"kind": "h", "part": rows[0]["part"], "x": distinct[is_hot].astype("<u8").tobytes(), "y": packed(few[is_hot], "<i8"), "z": packed(seen[is_hot], "<f8")})
         out.append({"kind": "n", "part": rows[0]["part"], "x": of_counts(total).astype("<i8").tobytes()})
+        give_back()
         return pa.Table.from_pylist(out, ANSWER_SCHEMA)
 
     return run
@@ -354,6 +385,7 @@ def score_chunk(plan: Plan, discount: Discounts, hot: tuple[np.ndarray, np.ndarr
                 direct = np.log10(discount(count) * count * scale[pairs.history] / np.maximum(total[pairs.history], 1))
             below = np.where(total[pairs.history] > 0, weight[pairs.history], 0.0) + word[pairs.word]
             value = np.where(count > 0, direct, below)
+            del direct, below
             base = np.log10((pairs.word_counts + 1) / (plan.words.total + plan.distinct + 1))
             first = np.cumsum(pairs.sizes) - pairs.sizes
             tables.append(pa.table([
@@ -361,6 +393,8 @@ def score_chunk(plan: Plan, discount: Discounts, hot: tuple[np.ndarray, np.ndarr
                 pa.array(np.add.reduceat((pairs.word_counts > 0)[pairs.codes].astype(np.int64), first)),
                 pa.array(np.add.reduceat(base[pairs.codes], first)), pa.array(np.add.reduceat(value[pairs.code], first)),
             ], ["row", "train", "n_tokens", "n_known", "base_score", "score"]))
+            del pairs, count, value
+        give_back()
         empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], ["row", "train", "n_tokens", "n_known", "base_score", "score"])
         return pa.concat_tables(tables) if tables else empty
 
