@@ -18,7 +18,7 @@ from .common import stored
 #: Below LONG code points, or above SPARSE code points a word, code points are units; from SHORT on, words are.
 #: In between both are, so that a text and its edited form always share a kind.
 SHORT, LONG, SPARSE = 300, 600, 40
-WORD_K, WORD_S, CHAR_K, CHAR_S = 8, 3, 8, 6
+WORD_K, WORD_S, CHAR_K, CHAR_S = 8, 2, 8, 6
 
 
 def _syncmers(units: Column, k: int, s: int, least: int) -> Column:
@@ -41,9 +41,9 @@ def _syncmers(units: Column, k: int, s: int, least: int) -> Column:
 
     def chosen(m: Column) -> Column:
         def at(x: Column, i: Column) -> Column:
-            low = F.array_min(F.slice(m, i + 1, window))
-            last = F.get(m, i + (window - 1))
-            return F.when((low == x) | (low == last), F.hash(*[F.get(m, i + j) for j in inner]))
+            # the least is at an edge if nothing between the edges is less than both; each part is evaluated once
+            between = F.array_min(F.slice(m, i + 2, window - 2)) if window > 2 else F.lit(2**63 - 1)
+            return F.when(between >= F.least(x, F.get(m, i + (window - 1))), F.hash(*[F.get(m, i + j) for j in inner]))
 
         return F.array_compact(F.transform(m, lambda x, i: F.when(i + window <= F.size(m), at(x, i))))
 
@@ -56,7 +56,8 @@ def _syncmers(units: Column, k: int, s: int, least: int) -> Column:
 def anchors(text: Column) -> Column:
     """The array of anchor hashes of a text; empty for null."""
     body = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    inside = F.btrim(body, F.lit(" \t\n\x0b\x0c\r"))  # so that only an empty text splits into an empty word
+    words = F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(inside, r"[\x20\x09-\x0D]+"))
     characters = F.filter(F.split(body, ""), lambda c: c != "")
     length = F.char_length(body)
 
