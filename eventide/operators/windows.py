@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,21 @@ def trailing_in_arrival(df: DataFrame, keys: list[str], window: TrailingWindow,
     return df.withColumns(made)
 
 
+def trailing_python(df: DataFrame, keys: list[str], window: TrailingWindow, value: str, function: Callable[[pd.Series], Any], name: str, result_type: str) -> DataFrame:
+    """A Python aggregate of the window's values (a pandas Series), through Arrow; equal times see each other.
+
+    For aggregates that no Column can say. Only the frame's rows reach Python, so a
+    key may be larger than memory as long as a window is not.
+    """
+
+    def call(values: pd.Series) -> Any:
+        return function(values)
+
+    call.__annotations__ = {"values": pd.Series, "return": object}
+    frame = Window.partitionBy(*keys).orderBy(TS).rangeBetween(-_checked(window).size, 0)
+    return df.withColumn(name, F.pandas_udf(call, result_type)(value).over(frame))
+
+
 def trailing_fold(df: DataFrame, keys: list[str], window: TrailingWindow, value: Column, body: Callable[[Column], Column], name: str) -> DataFrame:
     """Any function of the list of values visible at each event, in arrival order.
 

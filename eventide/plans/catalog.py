@@ -213,6 +213,12 @@ def trailing_window_fold(spark, folder):
     return shown(found, "user_id", "event_id", "top")
 
 
+@query(f"select ms, user_id, event_id, round(sum(value * value) {TRAILING}, 4) as squares from {E}")
+def trailing_window_python(spark, folder):
+    found = by_user(spark, folder, "value").window_python(TrailingWindow(DAY, HOUR), "value", lambda v: float((v * v).sum()), "squares", "double")
+    return shown(found, "user_id", "event_id", F.round("squares", 4).alias("squares"))
+
+
 @query(f"select ms, user_id, event_id, cast(count(distinct event_type) {TRAILING} as int) as kinds from {E}")
 def trailing_distinct(spark, folder):
     return shown(by_user(spark, folder, "event_type").window_distinct(TrailingWindow(DAY, HOUR), F.col("event_type"), "kinds"), "user_id", "event_id", "kinds")

@@ -28,6 +28,16 @@ def adjusted_times(df: DataFrame, event_time: str, now: str, order: list[str], k
     return out.withColumn(name, F.when(F.col("__on"), value).otherwise(F.col(event_time))).drop("__on", "__k")
 
 
+def observed_delay(df: DataFrame, event_time: str, now: str, name: str = "delay") -> DataFrame:
+    """``df``, with the largest and the mean delay of its events reported as metrics.
+
+    Read them from a ``QueryExecutionListener`` or ``StreamingQueryListener``, or by
+    ``Observation(name)`` in batch.
+    """
+    late = F.col(now) - F.col(event_time)
+    return df.observe(name, F.max(late).alias("max_delay_ms"), F.avg(late).alias("mean_delay_ms"))
+
+
 def replayed_watermarks(events: DataFrame, ticks: DataFrame, max_delay_ms: int, allowed_ms: int = 0, start_ms: int = 0, keys: list[str] | None = None) -> DataFrame:
     """The watermark at each tick of a replay.
 

@@ -71,11 +71,11 @@ class EventStream:
         fresh = [k for k, n in zip(named, names) if n not in self.df.columns]
         return KeyedStream(self.df.select("*", *fresh) if fresh else self.df, names)
 
-    def sql(self, query: str, table: str, schema: str | StructType | None = None) -> EventStream:
+    def sql(self, query: str, table: str, schema: str | StructType | None = None, approximate_distinct: bool = False) -> EventStream:
         """Spark SQL over this stream as ``table``; see ``eventide.plans.sqlnode``."""
         from eventide.plans.sqlnode import run_sql
 
-        return EventStream(run_sql(self.df, query, table, schema))
+        return EventStream(run_sql(self.df, query, table, schema, approximate_distinct))
 
 
 class KeyedStream:
@@ -148,6 +148,10 @@ class KeyedStream:
         """Sums and counts over the trailing window; later arrivals of equal time are not yet seen."""
         return self._with(windows.trailing_in_arrival(self.df, self.keys, window, sums), [*self.value_columns, *sums])
 
+    def window_python(self, window: TrailingWindow, value: str, function: Callable, name: str, result_type: str) -> KeyedStream:
+        """A Python aggregate over the trailing window; see ``operators.windows.trailing_python``."""
+        return self._with(windows.trailing_python(self.df, self.keys, window, value, function, name, result_type), [*self.value_columns, name])
+
     def window_fold(self, window: TrailingWindow, value: Column, body: Callable[[Column], Column], name: str) -> KeyedStream:
         """Any function of the values seen at each event; see ``operators.windows.trailing_fold``."""
         return self._with(windows.trailing_fold(self.df, self.keys, window, value, body, name), [*self.value_columns, name])

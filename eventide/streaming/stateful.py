@@ -51,12 +51,12 @@ def _frame(rows: list[dict[str, Any]], columns: list[str]) -> pd.DataFrame:
 
 
 class _RunningFold(StatefulProcessor):
-    def __init__(self, step: Callable, zero: Any, value: str, name: str, columns: list[str], state: str, integers: list[str]):
-        self.integers = integers
+    def __init__(self, step: Callable, zero: Any, value: str, name: str, columns: list[str], state: str, integers: list[str], ttl_ms: int | None = None):
+        self.integers, self.ttl = integers, ttl_ms
         self.step, self.zero, self.value, self.name, self.columns, self.kind = step, zero, value, name, columns, state
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", f"v {self.kind}")
+        self.state = handle.getValueState("fold", f"v {self.kind}", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = self.state.get()[0] if self.state.exists() else self.zero
@@ -72,21 +72,24 @@ class _RunningFold(StatefulProcessor):
         pass
 
 
-def running_stream(df: DataFrame, keys: list[str], value: str, monoid: Monoid, name: str, result_type: str, zero: Any = None) -> DataFrame:
-    """The running fold of each key, one output per event, in the order of arrival by micro-batch."""
+def running_stream(df: DataFrame, keys: list[str], value: str, monoid: Monoid, name: str, result_type: str, zero: Any = None, ttl_ms: int | None = None) -> DataFrame:
+    """The running fold of each key, one output per event, in the order of arrival by micro-batch.
+
+    With ``ttl_ms`` a key not seen for so long, by processing time, starts anew.
+    """
     if monoid.step is None:
         raise ValueError(f"{monoid.name} has no Python step")
     out = f"{_ddl(df, df.columns)}, `{name}` {result_type}"
-    return df.groupBy(*keys).transformWithStateInPandas(_RunningFold(monoid.step, zero, value, name, df.columns, result_type, _integers(df)), out, "append", "None")
+    return df.groupBy(*keys).transformWithStateInPandas(_RunningFold(monoid.step, zero, value, name, df.columns, result_type, _integers(df), ttl_ms), out, "append", "processingTime" if ttl_ms else "None")
 
 
 class _LatestJoin(StatefulProcessor):
-    def __init__(self, keys: list[str], left: list[str], right: list[str], state: str, integers: list[str]):
-        self.integers = integers
+    def __init__(self, keys: list[str], left: list[str], right: list[str], state: str, integers: list[str], ttl_ms: int | None = None):
+        self.integers, self.ttl = integers, ttl_ms
         self.keys, self.left, self.right, self.kind = keys, left, right, state
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("right", self.kind)
+        self.state = handle.getValueState("right", self.kind, self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = tuple(self.state.get()) if self.state.exists() else None
@@ -116,16 +119,17 @@ def _both(left: DataFrame, right: DataFrame, keys: list[str], left_values: list[
     return tagged(left, 1, "l").unionByName(tagged(right, 0, "r"))
 
 
-def latest_left_stream(left: DataFrame, right: DataFrame, keys: list[str], left_values: list[str], right_values: list[str]) -> DataFrame:
+def latest_left_stream(left: DataFrame, right: DataFrame, keys: list[str], left_values: list[str], right_values: list[str], ttl_ms: int | None = None) -> DataFrame:
     """Each left event with the latest right event that came before it, emitted at once.
 
     A right event that arrives later amends nothing. Within a micro-batch events
-    are taken in event order, right before left. Columns: ts, seq, keys, l_*, r_*.
+    are taken in event order, right before left. With ``ttl_ms`` a right value is
+    forgotten so long after its arrival, by processing time. Columns: ts, seq, keys, l_*, r_*.
     """
     both = _both(left, right, keys, left_values, right_values, [])
     state = ", ".join(f"`{c}` {dict(right.dtypes)[c]}" for c in right_values)
     columns = [TS, SEQ, *keys, *[f"l_{c}" for c in left_values], *[f"r_{c}" for c in right_values]]
-    return both.groupBy(*keys).transformWithStateInPandas(_LatestJoin(keys, left_values, right_values, state, _integers(both)), _ddl(both, columns), "append", "None")
+    return both.groupBy(*keys).transformWithStateInPandas(_LatestJoin(keys, left_values, right_values, state, _integers(both), ttl_ms), _ddl(both, columns), "append", "processingTime" if ttl_ms else "None")
 
 
 class _DebouncedJoin(StatefulProcessor):

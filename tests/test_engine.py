@@ -191,6 +191,24 @@ def test_hybrid_watermark(spark):
     assert marks[-1] == 1609459238000
 
 
+def test_observed_delay(spark):
+    from pyspark.sql import Observation
+
+    from eventide.plans.eventtime import observed_delay
+
+    df = spark.createDataFrame([(1, 4), (2, 3)], "e bigint, n bigint")
+    seen = Observation("delay")
+    late = F.col("n") - F.col("e")
+    assert df.observe(seen, F.max(late).alias("max_delay_ms")).count() == 2 and seen.get["max_delay_ms"] == 3
+    assert observed_delay(df, "e", "n").count() == 2
+
+
+def test_approximate_distinct(spark):
+    events = InMemorySource([(1, "a", 1), (2, "a", 2), (3, "a", 2)], "k string, c int").batch(spark)
+    found = events.sql("SELECT k, count(distinct c) OVER (PARTITION BY k) AS n FROM t", "t", approximate_distinct=True)
+    assert {r["n"] for r in found.df.collect()} == {2}
+
+
 def test_plans(spark):
     """One sort and one exchange for many folds; filters and columns reach the scan."""
     plan = catalog.running_max(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()

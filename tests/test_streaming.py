@@ -34,6 +34,8 @@ def test_running_fold(spark, tmp_path):
     source = feed(spark, tmp_path / "a", LEFT, [[(0, 0, "a", 1), (5, 1, "b", 7)], [(3, 2, "a", 4), (9, 3, "a", None)]])
     found = run(running_stream(source, ["k"], "v", SUM, "t", "int"), "folds")
     assert sorted(found) == [(0, 0, "a", 1, 1), (3, 2, "a", 4, 5), (5, 1, "b", 7, 7), (9, 3, "a", None, 5)]
+    aged = run(running_stream(source, ["k"], "v", SUM, "t", "int", ttl_ms=3_600_000), "aged_folds")
+    assert sorted(aged) == sorted(found)
     with pytest.raises(ValueError):
         running_stream(source, ["k"], "v", type(MAX)("x", None, None), "t", "int")
 
