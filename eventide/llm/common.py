@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ WORDS_AT_ONCE = 8192
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+_local: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -30,12 +32,20 @@ def fold(column: str, parts: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset: one below the warehouse, which a cluster shares, or on one
+    machine (a local master) a temporary one.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="eventide-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/eventide-shared"
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="eventide-shared-"))
+        atexit.register(shutil.rmtree, _local[0], True)
+    return f"file://{_local[0]}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

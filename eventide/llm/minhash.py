@@ -3,8 +3,8 @@
 Each permutation of a document's shingle hashes yields two signature values, its
 minimum and its maximum, so half as many hash evaluations fill the bands. Two
 sets of similarity s agree in a value with probability s, in a band of r values
-with s^r; with the defaults (50 bands of 8) a pair at 0.85 shares no band with
-probability 1.3e-7, at 0.8 (see ``bands_for``) as little.
+with s^r; there are as many bands of 8 (49 for 0.85, 84 for 0.8) as make a pair at
+the threshold share none with a probability below 2e-7.
 
 1. Documents with equal sets are one class, represented by the smallest id.
 2. Representatives that share a band are joined to the band's smallest id;
