@@ -132,8 +132,13 @@ def backoff(discount: Discounts, few: np.ndarray, seen: np.ndarray, total: np.nd
     return scale, np.log10(rest / np.maximum(1 - seen, 1e-300))
 
 
-def make_chunk(texts: pa.Array, ids: np.ndarray, train: np.ndarray, number: int) -> dict:
-    """A chunk row: the texts' tokens as codes into a vocabulary sorted by hash; each text ends with END."""
+def make_chunk(texts: pa.Array, ids: pa.Array, train: np.ndarray, number: int) -> dict:
+    """A chunk row: the texts' tokens as codes into a vocabulary sorted by hash; each text ends with END.
+
+    ``train`` holds 1 for a text to learn from, and 2 more for a null id.
+    """
+    unnamed = ids.is_null().to_numpy(zero_copy_only=False)
+    ids, train = ids.fill_null(0).to_numpy(zero_copy_only=False), train.astype(bool)
     words = Words(texts, lower="ascii")
     hashes = pd.util.hash_array(np.array(words.vocabulary.to_pylist(), object), categorize=False) if len(words.vocabulary) else np.zeros(0, np.uint64)
     vocabulary, code = np.unique(np.append(mix(hashes), END), return_inverse=True)
@@ -149,7 +154,7 @@ def make_chunk(texts: pa.Array, ids: np.ndarray, train: np.ndarray, number: int)
     ranking = np.argsort(-used, kind="stable").astype(np.int32)
     rank = np.empty(len(ranking), np.int32)
     rank[ranking] = np.arange(len(ranking), dtype=np.int32)
-    return {"chunk": number, "ids": packed(ids, "<i8"), "train": packed(train, "u1"), "sizes": packed(sizes, "<u4"), "vocabulary": vocabulary.astype("<u8").tobytes(), "counts": packed(counts, "<u4"), "ranking": packed(ranking, "<u4"), "codes": packed(rank[codes], "<u4")}
+    return {"chunk": number, "ids": packed(ids, "<i8"), "train": packed(train + 2 * unnamed, "u1"), "sizes": packed(sizes, "<u4"), "vocabulary": vocabulary.astype("<u8").tobytes(), "counts": packed(counts, "<u4"), "ranking": packed(ranking, "<u4"), "codes": packed(rank[codes], "<u4")}
 
 
 def chunked(rows: DataFrame) -> DataFrame:
@@ -163,7 +168,7 @@ def chunked(rows: DataFrame) -> DataFrame:
             table = pa.Table.from_batches(held).combine_chunks()
             text = table["text"].combine_chunks()
             text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
-            return pa.RecordBatch.from_pylist([make_chunk(text, table["row"].to_numpy(), table["train"].to_numpy(zero_copy_only=False), number)], schema)
+            return pa.RecordBatch.from_pylist([make_chunk(text, table["row"].combine_chunks(), table["train"].to_numpy(zero_copy_only=False), number)], schema)
 
         for part in text_slices(batches):
             held.append(part)
@@ -236,7 +241,8 @@ class Pairs:
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
         self.codes = unpacked(row["ranking"], "<u4").astype(np.int32)[unpacked(row["codes"], "<u4")]
         self.sizes = unpacked(row["sizes"], "<u4").astype(np.int64)
-        self.train = unpacked(row["train"], "u1")
+        flags = unpacked(row["train"], "u1")
+        self.train, self.unnamed = flags & 1, (flags & 2) > 0
         self.word_counts = word_counts
         self.history_counts = np.append(word_counts, plan.texts)  # the last is the start of a text
         self.hashes = np.append(self.vocabulary, START)
@@ -389,7 +395,7 @@ def score_chunk(plan: Plan, discount: Discounts, hot: tuple[np.ndarray, np.ndarr
             base = np.log10((pairs.word_counts + 1) / (plan.words.total + plan.distinct + 1))
             first = np.cumsum(pairs.sizes) - pairs.sizes
             tables.append(pa.table([
-                pa.array(unpacked(row["ids"], "<i8")), pa.array(pairs.train > 0), pa.array(pairs.sizes),
+                pa.array(unpacked(row["ids"], "<i8"), mask=pairs.unnamed), pa.array(pairs.train > 0), pa.array(pairs.sizes),
                 pa.array(np.add.reduceat((pairs.word_counts > 0)[pairs.codes].astype(np.int64), first)),
                 pa.array(np.add.reduceat(base[pairs.codes], first)), pa.array(np.add.reduceat(value[pairs.code], first)),
             ], ["row", "train", "n_tokens", "n_known", "base_score", "score"]))

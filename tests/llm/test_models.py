@@ -262,6 +262,7 @@ def test_awkward_rows(spark, awkward, nothing):
     for found, column in ((toxicity.score(awkward, model), "score"), (language.predict(awkward, language.fit(awkward)), "score"), (quality.judge(awkward, quality.fit(awkward)), "score"), (ngrams.score(awkward, F.col("doc_id") % 2 == 1), "score")):
         rows = found.collect()
         assert len(rows) == 12 and all(r[column] is not None and math.isfinite(r[column]) for r in rows)
+        assert sorted((r["doc_id"] for r in rows), key=str) == sorted((r["doc_id"] for r in awkward.collect()), key=str)
     predicted = {r["doc_id"]: r["lang_pred"] for r in language.predict(awkward, language.fit(awkward)).collect()}
     assert predicted[2] == predicted[3] == predicted[4] == predicted[6] == "und"
     none = toxicity.fit(nothing, spark.createDataFrame([], "doc_id long, toxic int"))

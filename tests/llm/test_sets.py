@@ -359,11 +359,11 @@ def test_awkward_rows(spark, awkward, nothing):
     two = spark.createDataFrame([(1, "a b c d"), (1, "e f g h"), (2, "e f g h"), (3, "a b c d")], "doc_id long, text string")
     assert {r["component_id"] for r in minhash.near_duplicates(two, size=3, percent=85).collect()} == {1}
     packed = packing.pack_documents(awkward, VOCABULARY).collect()
-    assert len({r["doc_id"] for r in packed}) == 11 and check_packing(packed, 4096) > 10
+    assert None in {r["doc_id"] for r in packed} and len({r["doc_id"] for r in packed}) == 11 and check_packing(packed, 4096) > 10
     mixed = mixing.mix(awkward).collect()
     assert len(mixed) == 12 and all(r["taken"] == 0 for r in mixed if r["doc_id"] in (2, 3, 4))
     printed = fingerprints.edited_likeness(awkward).collect()
-    assert len(printed) == 12 and all(0 <= r["near_edited"] <= 1 for r in printed)
+    assert None in {r["doc_id"] for r in printed} and len(printed) == 12 and all(0 <= r["near_edited"] <= 1 for r in printed)
     assert len({r["fingerprint"] for r in printed if r["doc_id"] in (1, 9)}) == 1
     for empty in (minhash.near_duplicates(nothing), packing.pack_documents(nothing, VOCABULARY), mixing.mix(nothing), fingerprints.edited_likeness(nothing), mixing.mixed(nothing), warc.round_trip(pages(spark, []))):
         assert empty.isEmpty()
