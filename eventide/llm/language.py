@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_sums, letters_only, ngram_table, sampled, text_slices, text_source
+from .common import Words, give_back, gram_sums, letters_only, ngram_table, sampled, text_slices, text_source
 
 SIZES = (1, 2, 3, 4)
 CHUNK = 64
@@ -222,7 +222,10 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", ke
         picked = picked.unionByName(part)
     # at most sample_rows * max_languages ids
     texts = rows.join(F.broadcast(picked.distinct()), ["id", "lang"]).dropDuplicates(["id", "lang"]).toPandas().sort_values(["lang", "id"], kind="stable")
-    return train(texts["text"].tolist(), texts["lang"].tolist(), **options)
+    model = train(texts["text"].tolist(), texts["lang"].tolist(), **options)
+    del texts
+    give_back()
+    return model
 
 
 def predict(documents: DataFrame, model: WordField, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:

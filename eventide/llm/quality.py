@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, sampled, text_slices, text_source
+from .common import Words, give_back, mix, sampled, text_slices, text_source
 
 #: (measure, bad below, bad above, good from, good to): between them a labeller abstains.
 LABELLERS = (
@@ -199,7 +199,10 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
     ids = sampled(rows.select("id"), "id", sample_rows)
     texts = pa.array(rows.join(F.broadcast(ids), "id").dropDuplicates(["id"]).toPandas().sort_values("id", kind="stable")["text"].tolist(), pa.large_string())
-    return QualityModel(labels, *train_scorer(texts, labels.posterior(Texts(texts).votes())))
+    model = QualityModel(labels, *train_scorer(texts, labels.posterior(Texts(texts).votes())))
+    del texts
+    give_back()
+    return model
 
 
 def judge(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_sums, letters_only, ngram_table, sampled, text_slices, text_source
+from .common import Words, give_back, gram_sums, letters_only, ngram_table, sampled, text_slices, text_source
 
 SIZES = (3, 4, 5, 6)
 
@@ -200,7 +200,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # ``picked`` has at most twice sample_rows rows
     rows = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]).toPandas().sort_values("id", kind="stable")
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train(rows["text"].tolist(), rows["y"].to_numpy(np.int64), prior=prior if counts else None, **options)
+    texts, y = rows["text"].tolist(), rows["y"].to_numpy(np.int64)
+    del rows
+    model = train(texts, y, prior=prior if counts else None, **options)
+    give_back()
+    return model
 
 
 def score(documents: DataFrame, model: SubwordSoftmax, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
