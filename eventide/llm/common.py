@@ -103,13 +103,13 @@ def give_back() -> None:
         return
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each has about SLICE_BYTES of text, or one row."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has about ``size`` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+        part = np.cumsum(sizes, dtype=np.int64) // size
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *edges], [*edges, batch.num_rows]):
             yield batch.slice(a, b - a)

@@ -138,7 +138,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: i
     source = text_source(documents, F.col(id_col), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, size=4 << 20):  # words repeat more in larger slices, and need little memory
             row, piece, start, length, digest, kept = [], [], [], [], [], []
             for i, ids in enumerate(text_ids(tokenizer, part.column("text"), end_id)):
                 for k, at in enumerate(range(0, len(ids), capacity)):
