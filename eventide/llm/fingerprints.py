@@ -4,8 +4,12 @@ Units are words, or code points where a text is short or hardly spaced. A k-mer
 is k units in a row; it is a closed syncmer if the smallest hash among its s-mers
 lies at its first or last s-mer. Whether a k-mer is chosen depends on the k-mer
 alone, so an edit changes the anchors that touch it and no others. A fingerprint
-lists the chosen k-mers' 32-bit hashes in the order of the text; in texts of
-very few units each unit is an anchor, texts without units have none.
+lists the chosen k-mers' 32-bit hashes in the order of the text, those of code
+points before those of words; in texts of very few code points each one is an
+anchor too, before the others, and texts without units have none.
+
+Which kinds of anchors a text has depends on its size, in bands that overlap. Two
+texts are compared by one kind that both have, never by a mixture.
 """
 
 from __future__ import annotations
@@ -16,13 +20,17 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Below LONG code points, or above SPARSE code points a word, code points are units; from SHORT on, words are.
-#: In between both are, so that a text and its edited form always share a kind.
-SHORT, LONG, SPARSE = 300, 600, 40
+#: In between both are, so that a text and its edited form always share a kind: a quarter less than LONG is above
+#: SHORT, and a text that is not SPARSE has most of its words before its last quarter, unless those are of two letters.
+SHORT, LONG, SPARSE = 300, 600, 10
+#: Below TINY code points each is an anchor by itself, from LEAST on k-mers are; again both in between.
+LEAST, TINY = 16, 24
+KINDS = ("characters", "words", "single")
 WORD_K, WORD_S, CHAR_K, CHAR_S = 8, 2, 8, 6
 
 
-def _syncmers(units: Column, k: int, s: int, least: int) -> Column:
-    """Anchors of a list of units; lists of fewer than ``least`` have each unit as one."""
+def _syncmers(units: Column, k: int, s: int) -> Column:
+    """Anchors of a list of units; lists of fewer than ``k`` have none."""
     hashed = F.transform(units, lambda u: F.xxhash64(u))
 
     def smers(h: Column) -> Column:
@@ -47,39 +55,58 @@ def _syncmers(units: Column, k: int, s: int, least: int) -> Column:
 
         return F.array_compact(F.transform(m, lambda x, i: F.when(i + window <= F.size(m), at(x, i))))
 
-    few = F.transform(units, lambda u: F.hash(u))
     # each array is bound once: transform over one element stands for a let-expression
     bound = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    return F.when(F.size(units) < least, few).otherwise(bound(hashed, lambda h: bound(smers(h), chosen)))
+    return bound(hashed, lambda h: bound(smers(h), chosen))
 
 
-def anchors(text: Column) -> Column:
-    """The array of anchor hashes of a text; empty for null."""
+def by_kind(text: Column) -> Column:
+    """A struct of the anchor hashes of each of KINDS; null for kinds that a text of this size does not have."""
     body = F.coalesce(text, F.lit(""))
     inside = F.btrim(body, F.lit(" \t\n\x0b\x0c\r"))  # so that only an empty text splits into an empty word
     words = F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(inside, r"[\x20\x09-\x0D]+"))
     characters = F.filter(F.split(body, ""), lambda c: c != "")
     length = F.char_length(body)
 
-    none = F.array().cast("array<int>")
-
     def pick(w: Column) -> Column:
         sparse = length > SPARSE * F.size(w)
-        of_characters = F.when((length < LONG) | sparse, _syncmers(characters, CHAR_K, CHAR_S, 2 * CHAR_K)).otherwise(none)
-        of_words = F.when((length >= SHORT) & ~sparse, _syncmers(w, WORD_K, WORD_S, WORD_K)).otherwise(none)
-        return F.concat(of_characters, of_words)
+        found = {
+            "characters": F.when((length >= LEAST) & ((length < LONG) | sparse), _syncmers(characters, CHAR_K, CHAR_S)),
+            "words": F.when(length >= SHORT, _syncmers(w, WORD_K, WORD_S)),
+            "single": F.when(length < TINY, F.transform(characters, lambda u: F.hash(u))),
+        }
+        return F.struct(*[found[kind].alias(kind) for kind in KINDS])
 
     return F.element_at(F.transform(F.array(words), pick), 1)
 
 
+def listed(found: Column) -> Column:
+    """The anchors of all kinds in one array."""
+    none = F.array().cast("array<int>")
+    joined = lambda f: F.concat(*[F.coalesce(f[kind], none) for kind in ("single", "characters", "words")])
+    return F.element_at(F.transform(F.array(found), joined), 1)
+
+
+def anchors(text: Column) -> Column:
+    """The array of anchor hashes of a text; empty for null."""
+    return listed(by_kind(text))
+
+
 def as_string(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))), ".")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two anchor lists as sets; two empty ones are alike."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Jaccard similarity of the anchors of the first of KINDS that both texts have; two empty sets are alike.
+
+    Texts without a kind in common, one of them less than half as long as the other, are unlike.
+    """
+
+    def jaccard(x: Column, y: Column) -> Column:
+        union = F.size(F.array_union(x, y))
+        return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
+
+    return F.coalesce(*[F.when(a[kind].isNotNull() & b[kind].isNotNull(), jaccard(a[kind], b[kind])) for kind in KINDS], F.lit(0.0))
 
 
 def with_next(rows: DataFrame, id_col: str, columns: list[str], order: list[str], per_cell: int = 1000) -> DataFrame:
@@ -134,11 +161,11 @@ def edited_likeness(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # anchors are made before rows move, and move with them: each text is read twice, not three times
-    rows = rows.withColumn("a", anchors(F.col("text")))
+    rows = rows.withColumn("a", by_kind(F.col("text")))
     rows = with_next(rows, "id", ["text", "a"], ["text"])
     n = F.char_length("text").cast("long")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.left(F.col("text"), n.cast("int") - cut), F.left(F.col("next_text"), cut))
     rows = rows.select("id", n.alias("n_chars"), edited.alias("edited"), "a", F.col("next_a").alias("x"))
-    rows = rows.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", anchors(F.col("edited")).alias("e"), "x")
-    return rows.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", as_string(F.col("a")).alias("fingerprint"), as_string(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("x")).alias("near_next"))
+    rows = rows.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", by_kind(F.col("edited")).alias("e"), "x")
+    return rows.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", as_string(listed(F.col("a"))).alias("fingerprint"), as_string(listed(F.col("e"))).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("x")).alias("near_next"))

@@ -315,6 +315,28 @@ def test_fingerprints_of_edited_texts(spark):
     assert np.mean([r["near_edited"] for r in long]) > 0.5 and np.mean([r["near_next"] for r in long]) < 0.05
 
 
+def test_edited_texts_near_the_switches_stay_alike(spark):
+    """Each text on its own: three quarters stay, the rest goes or comes from another text."""
+    chance = random.Random(5)
+
+    def words(n, low, high):
+        text = ""
+        while len(text) < n:
+            text += "".join(chance.choices("abcdefghijklmnopqrstuvwxyz", k=chance.randint(low, high))) + " "
+        return text[: n - 1] + "."
+
+    texts = [words(n, 2, 9) for n in [*range(12, 40), *range(280, 420, 5), *range(560, 840, 5)]]
+    # from fewer to more code points a word, and back, past 10 and past 40
+    texts += [words(900, low, low) + words(300, high, high) for low, high in [(10, 6), (6, 10), (12, 5), (44, 25), (25, 44), (60, 14), (14, 60)]]
+    texts += ["".join(chance.choices("abcdefghij", k=900)) + words(300, 3, 7)]  # one word, then a quarter of short ones
+    for gap in (["", "tail"], [words(2000, 2, 9), words(700, 2, 9)]):
+        rows = [(2 * n, text) for n, text in enumerate(texts)] + [(2 * n + 1, gap[n % 2]) for n in range(len(texts))]
+        found = {r["doc_id"]: r["near_edited"] for r in fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        low = {len(text): found[2 * n] for n, text in enumerate(texts) if found[2 * n] < (0.3 if len(text) >= 40 else 0.1)}
+        assert not low
+    assert {r["near_next"] for r in fingerprints.edited_likeness(spark.createDataFrame([(1, texts[-1]), (2, "short")], "doc_id long, text string")).collect()} == {0.0}
+
+
 def brute_syncmers(units, k, s):
     """Positions of closed syncmers, by any total order of s-mers."""
     from functools import lru_cache
