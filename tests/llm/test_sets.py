@@ -363,6 +363,12 @@ def test_syncmers(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_density_of_word_anchors(spark):
+    words = [f"w{i}" for i in range(20_000)]
+    found = fingerprints.fingerprints(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()["anchors"]
+    assert abs(len(found) / (20_000 - 7) - 2 / 6) < 0.015  # two edges of the six s-mers of three words in eight
+
+
 def test_next_rows_of_crowded_and_sparse_ids(spark):
     ids = [*range(3000), *(10**15 + i * 10**10 for i in range(500)), -5]
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string").repartition(5)
