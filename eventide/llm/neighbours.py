@@ -56,7 +56,7 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tile_nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, candidate, score) of the k best candidates of each query among some; ties to smaller ids."""
+    """(query, candidate, score) of the k best candidates of each query among some distinct rows; ties to smaller ids."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     # of equal vectors the k + 1 smallest ids are enough: no query needs more, its own row aside
@@ -109,14 +109,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     query's neighbours. Rows that repeat an id and vector count once.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("query")).where(F.col("id").isNotNull() & usable("v"))
-    rows = rows.withColumn("dims", F.size("v"))
     counted = {r["query"]: r["n"] for r in rows.groupBy("query").agg(F.count("*").alias("n")).collect()}
     total = sum(counted.values())
+    # copies of a row would all be in one tile and take its heaps' places
+    rows = rows.groupBy("id", "v").agg(F.max("query").alias("query")).withColumn("dims", F.size("v"))
     q_blocks, c_blocks = max(1, -(-counted.get(True, 0) // query_block)), max(1, -(-total // candidate_block))
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = rows.where("query").select("id", "v", "dims", F.lit(1).alias("side"), spread(q_blocks, 1).alias("i")).withColumn("j", every(c_blocks))
-    given = rows.select("id", "v", "dims", F.lit(0).alias("side"), spread(c_blocks, 2).alias("j")).withColumn("i", every(q_blocks)).select(*asked.columns)
+    every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    tile = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+    asked = F.transform(F.when(F.col("query"), every(c_blocks)).otherwise(F.array().cast("array<int>")), lambda j: tile(1, spread(q_blocks, 1), j))
+    given = F.transform(every(q_blocks), lambda i: tile(0, i, spread(c_blocks, 2)))
+    dealt = rows.select("id", "v", "dims", F.inline(F.concat(asked, given)))
 
     def run(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
@@ -129,7 +132,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
             found = tile_nearest(ids[side == 1], matrix[side == 1], ids[side == 0], matrix[side == 0], k)
         return pa.table([pa.array([x[n] for x in found], kind) for n, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], ["query_id", "id", "score"])
 
-    tiles = asked.unionByName(given).groupBy("dims", "i", "j").applyInArrow(run, "query_id long, id long, score double").distinct()
+    tiles = dealt.groupBy("dims", "i", "j").applyInArrow(run, "query_id long, id long, score double").distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = tiles.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

@@ -291,6 +291,18 @@ def test_neighbours_equal_brute_force(spark, spread):
     assert sorted(tuple(r) for r in found) == brute_nearest(rows, 20)
 
 
+@pytest.mark.parametrize("copies", [2, 25])
+def test_repeated_rows_count_once(spark, copies):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(120)]
+    rows += [(200 + i, rows[0][1]) for i in range(30)]  # equal vectors of other ids
+    repeated = rows * 2 if copies == 2 else rows + [(i, v) for i, v in rows if i % 7 == 1] * copies
+    df = spark.createDataFrame(repeated, "vec_id long, embedding array<double>")
+    for blocks in ({}, {"query_block": 3, "candidate_block": 40}):
+        found = neighbours.nearest(df, F.col("vec_id") % 20 == 0, 20, **blocks).collect()
+        assert sorted(tuple(r) for r in found) == brute_nearest(rows, 20)
+
+
 def test_few_neighbours(spark):
     rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (20, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
