@@ -22,12 +22,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Words, give_back, gram_sums, letters_only, ngram_table, sampled, text_slices, text_source
 
 SIZES = (1, 2, 3, 4)
 CHUNK = 64
 UNKNOWN = "und"
+SPANS = "spans array<struct<first: int, words: int, lang: string, score: double>>"
 
 
 class WordField:
@@ -43,15 +45,42 @@ class WordField:
         out, grams = gram_sums(clean, SIZES, self.weights)
         return np.where(has[:, None], out / np.sqrt(np.maximum(grams, 1))[:, None], 0), has
 
-    def expected(self, texts: pa.Array) -> np.ndarray:
-        """Of each text, the expected number of words (those with letters) in each language."""
+    def posteriors(self, texts: pa.Array) -> tuple[Words, np.ndarray]:
+        """The texts' words, and each word's distribution over languages (all zero for words without letters)."""
         words = Words(texts)
         emission, has = self.emissions(words.vocabulary)
         p = forward_backward(emission, words.codes, words.counts, self.change)
         p[~has[words.codes]] = 0
+        return words, p
+
+    def expected(self, texts: pa.Array) -> np.ndarray:
+        """Of each text, the expected number of words (those with letters) in each language."""
+        words, p = self.posteriors(texts)
         total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
         return total[words.starts + words.counts] - total[words.starts]
 
+    def spans(self, texts: pa.Array) -> pa.ListArray:
+        """Of each text, its stretches of words with one label: number of the first word, words, label, mean posterior."""
+        if not self.languages:
+            words = Words(texts)
+            p = np.zeros((len(words.codes), 1))
+        else:
+            words, p = self.posteriors(texts)
+        n, best = len(p), p.argmax(1)
+        sure = p[np.arange(n), best]
+        label = np.where(sure > 0, best, len(self.languages))
+        fresh = np.ones(n, bool)
+        fresh[1:] = label[1:] != label[:-1]
+        fresh[words.starts[words.counts > 0]] = True
+        first = np.flatnonzero(fresh)
+        size = np.diff(np.append(first, n))
+        text_of = np.repeat(np.arange(len(words.counts)), words.counts)[first]
+        total = np.concatenate([[0.0], np.cumsum(sure)])
+        names = np.array([*self.languages, UNKNOWN], object)
+        columns = [pa.array(first - words.starts[text_of], pa.int32()), pa.array(size, pa.int32()), pa.array(names[label[first]], pa.string()), pa.array((total[first + size] - total[first]) / np.maximum(size, 1), pa.float64())]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=len(words.counts)))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["first", "words", "lang", "score"]))
+
     def predict(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         if not self.languages or not len(texts):
             return pa.array([UNKNOWN] * len(texts)), np.zeros(len(texts))
@@ -246,3 +275,20 @@ def predict(documents: DataFrame, model: WordField, id_col: str = "doc_id", text
 
     schema = source.drop("__text").schema.add(f"{prefix}lang_pred", "string").add(f"{prefix}score", "double")
     return source.mapInArrow(run, schema)
+
+
+def label_words(documents: DataFrame, model: WordField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id and ``spans``: the text's words in stretches of one language, in order.
+
+    ``first`` counts words from 0, ``score`` is the mean posterior of the label.
+    Words without a letter are ``und`` with score 0. One row per input row. No shuffle.
+    """
+    source = text_source(documents, id_col, F.col(text_col).alias("__text"))
+    shipped = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "__text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), shipped.value.spans(part.column("__text"))], [id_col, "spans"])
+
+    schema = source.drop("__text").schema.add(StructType.fromDDL(SPANS)["spans"])
+    return source.mapInArrow(run, schema)

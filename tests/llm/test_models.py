@@ -157,6 +157,19 @@ def test_language_marks_switched_words():
     assert np.diag(model.change).min() > model.change[0, 1]
 
 
+def test_language_labels_words_of_documents(spark):
+    rng = random.Random(5)
+    words = {"aa": ["kalo", "kiro", "kanu", "kelo"], "bb": ["strung", "brisk", "plumb", "grist"]}
+    model = language.train([" ".join(rng.choices(words[k], k=30)) for k in ("aa", "bb") * 30], ["aa", "bb"] * 30)
+    rows = [(1, "kalo kiro  kanu kelo brisk strung 12 plumb grist"), (2, None), (3, "grist"), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r["spans"] for r in language.label_words(docs, model).collect()}
+    assert [(x["first"], x["words"], x["lang"]) for x in found[1]] == [(0, 4, "aa"), (4, 2, "bb"), (6, 1, "und"), (7, 2, "bb")]
+    assert found[2] == found[4] == [] and [tuple(x)[:3] for x in found[3]] == [(0, 1, "bb")]
+    assert all((x["score"] > 0.5) == (x["lang"] != "und") for x in found[1])
+    assert [tuple(x) for x in language.label_words(docs, language.train([], [])).where("doc_id = 3").first()["spans"]] == [(0, 1, "und", 0.0)]
+
+
 def test_quality(spark):
     docs, labels = table(spark, "documents", "/root/testdata/sf0.1"), table(spark, "labels", "/root/testdata/sf0.1")
     model = quality.fit(docs)
