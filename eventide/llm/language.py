@@ -20,15 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, give_back, gram_sums, letters_only, ngram_table, sampled, text_slices, text_source
+from .common import Words, give_back, gram_sums, letters_only, ngram_table, text_slices, text_source
 
 SIZES = (1, 2, 3, 4)
 CHUNK = 64
 UNKNOWN = "und"
+#: Where a language has long texts only, so many times the usual bound of one text is read of them together.
+LONG_TEXTS = 25
 SPANS = "spans array<struct<first: int, words: int, lang: string, score: double>>"
 
 
@@ -235,22 +237,26 @@ def train(texts: list[str], languages: list[str], buckets: int = 1 << 15, rounds
 def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_rows: int = 250, max_languages: int = 64, sample_chars: int = 20_000, **options) -> WordField:
     """Train on a bounded sample: ``sample_rows`` texts of each language.
 
-    Null texts and languages teach nothing. ``max_languages`` bounds the sample;
-    with more languages this raises. Texts longer than ``sample_chars`` are left
-    out of the training sample, not cut.
+    Null texts and languages teach nothing, nor do rows without a key. The sample has
+    at most ``sample_rows * max_languages`` texts: with more languages each has fewer,
+    one at least. Texts longer than ``sample_chars`` are left out of the training
+    sample, unless a language has no other: its shortest ones then teach, as many as
+    have ``LONG_TEXTS * sample_chars`` characters together, or the shortest one up to there.
     """
-    rows = documents.select(F.col(key_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
-    names = [r["lang"] for r in rows.select("lang").distinct().limit(max_languages + 1).collect()]
-    if len(names) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    parts = [sampled(rows.where(F.col("lang") == name).select("id", "lang"), "id", sample_rows) for name in sorted(names)]
-    if not parts:
-        return train([], [])
-    picked = parts[0]
-    for part in parts[1:]:
-        picked = picked.unionByName(part)
-    # at most sample_rows * max_languages ids
-    texts = rows.join(F.broadcast(picked.distinct()), ["id", "lang"]).dropDuplicates(["id", "lang"]).toPandas().sort_values(["lang", "id"], kind="stable")
+    reach = LONG_TEXTS * sample_chars
+    rows = documents.select(F.col(key_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
+    rows = rows.withColumn("size", F.length("text").cast("long")).withColumn("long", F.col("size") > sample_chars)
+    n = rows.select("lang").distinct().count()
+    share = max(1, min(sample_rows, sample_rows * max_languages // max(n, 1)))
+    # each task keeps its first rows of a language before rows move
+    line = Window.partitionBy("lang").orderBy("long", F.when(F.col("long"), F.col("size")).otherwise(F.xxhash64(F.col("id").cast("string"))), "id")
+    picked = rows.select("id", "lang", "size", "long").withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= share)
+    # at most sample_rows * max_languages ids, or one of each language
+    of_language = Window.partitionBy("lang")
+    picked = picked.withColumn("no_other", F.min("long").over(of_language)).withColumn("up_to", F.sum("size").over(of_language.orderBy("rank")))
+    picked = picked.where(~F.col("long") | (F.col("no_other") & ((F.col("rank") == 1) | (F.col("up_to") <= reach)))).select("id", "lang", "long")
+    texts = rows.join(F.broadcast(picked.distinct()), ["id", "lang", "long"]).dropDuplicates(["id", "lang"]).select("id", F.left(F.col("text"), F.lit(max(reach, sample_chars))).alias("text"), "lang")
+    texts = texts.toPandas().sort_values(["lang", "id"], kind="stable")
     model = train(texts["text"].tolist(), texts["lang"].tolist(), **options)
     del texts
     give_back()

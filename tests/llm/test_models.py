@@ -170,6 +170,20 @@ def test_language_labels_words_of_documents(spark):
     assert [tuple(x) for x in language.label_words(docs, language.train([], [])).where("doc_id = 3").first()["spans"]] == [(0, 1, "und", 0.0)]
 
 
+def test_languages_of_long_texts_and_many_languages(spark):
+    rng = random.Random(6)
+    letters = {"aa": "aeioktl", "bb": "sbrgmpu", "cc": "zwxyqvj"}
+    text = lambda k, n: " ".join("".join(rng.choices(letters[k], k=5)) for _ in range(n))
+    rows = [(n, text(k, 20), k) for n, k in enumerate(["aa", "bb"] * 20)] + [(100 + n, text("cc", 200 + n), "cc") for n in range(5)] + [(200, text("aa", 300), "aa"), (201, "", "dd"), (202, None, "ee")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, sample_chars=500)  # all texts of cc are longer
+    assert {"aa", "bb", "cc"} <= set(model.languages) and "ee" not in model.languages
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    assert all(found[i] == k for i, x, k in rows if x)
+    many = [(n, f"{chr(97 + n % 26) * 3}{chr(97 + n // 26) * 3} word", f"l{n}") for n in range(90)]
+    assert len(language.fit(spark.createDataFrame(many, "doc_id long, text string, lang string"), rounds=1, chain_rounds=1).languages) == 90
+
+
 def test_quality(spark):
     docs, labels = table(spark, "documents", "/root/testdata/sf0.1"), table(spark, "labels", "/root/testdata/sf0.1")
     model = quality.fit(docs)
