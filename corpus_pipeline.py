@@ -40,10 +40,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: shingles of five words, similarity 0.8 or more."""
-    kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").select(*docs.columns)
-    # rows that repeat an id are one document; rows without an id cannot be matched and stay
-    once = named.groupBy("doc_id").agg(*[F.min_by(F.struct(*docs.columns), F.struct("text", *[c for c in docs.columns if c != "text"])).alias("row")]).select("row.*")
+    key, first = f"{OWN}key", f"{OWN}first"
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    texts = docs.where("doc_id is not null").select("doc_id", text.alias("text"))
+    twice = texts.groupBy("doc_id").agg(F.min("text").alias(first), F.max("text").alias("last")).where(F.col(first) < F.col("last")).drop("last")
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    if not twice.isEmpty():
+        # unlike texts under one id are documents of their own; all but one get keys above the ids
+        other = F.xxhash64("doc_id", text).bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
+        keyed = keyed.join(twice, "doc_id", "left").withColumn(key, F.when(F.col(first) != text, other).otherwise(F.col(key)))
+        keyed = stored(keyed.select(*docs.columns, key), "pipeline-keyed")
+    kept = minhash.near_duplicates(keyed, key, size=5, percent=80).where(f"kept and {key} is not null").select(key).distinct()
+    named = keyed.join(kept, key).select(key, *docs.columns)
+    # rows that repeat an id and text are one document; rows without an id cannot be matched and stay
+    once = named.groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.struct("text", *[c for c in docs.columns if c != "text"])).alias("row")).select("row.*")
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

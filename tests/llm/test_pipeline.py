@@ -68,6 +68,15 @@ def test_run(spark, stages):
     assert sorted(map(tuple, found.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, stages["packing"][1].select("doc_id", "piece", "length", "ids_crc32").collect()))
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    one, two, three = (" ".join(f"{k}{n}" for n in range(30)) for k in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, two), (3, three), (3, one), (4, three), (5, three + " more")]
+    found = pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    texts = sorted(r["text"] for r in found)
+    assert texts in ([one, two, three], [one, two, three + " more"])
+    assert all((r["doc_id"], r["text"]) in rows for r in found)
+
+
 def test_awkward_rows(spark, awkward, nothing, tmp_path):
     spark.createDataFrame([(1, 1, 0), (9, 1, 0), (5, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in pipeline.STAGES:
