@@ -29,8 +29,12 @@ KINDS = ("characters", "words", "single")
 WORD_K, WORD_S, CHAR_K, CHAR_S = 8, 3, 8, 6
 
 
-def _syncmers(units: Column, k: int, s: int) -> Column:
-    """Anchors of a list of units; lists of fewer than ``k`` have none."""
+def _anchor(place: Column, value: Column, placed: bool) -> Column:
+    return F.struct(place.alias("place"), value.alias("anchor")) if placed else value
+
+
+def _syncmers(units: Column, k: int, s: int, placed: bool) -> Column:
+    """Anchors of a list of units, with their first units' numbers if ``placed``; lists of fewer than ``k`` have none."""
     hashed = F.transform(units, lambda u: F.xxhash64(u))
 
     def smers(h: Column) -> Column:
@@ -51,7 +55,7 @@ def _syncmers(units: Column, k: int, s: int) -> Column:
         def at(x: Column, i: Column) -> Column:
             # the least is at an edge if nothing between the edges is less than both; each part is evaluated once
             between = F.array_min(F.slice(m, i + 2, window - 2)) if window > 2 else F.lit(2**63 - 1)
-            return F.when(between >= F.least(x, F.get(m, i + (window - 1))), F.hash(*[F.get(m, i + j) for j in inner]))
+            return F.when(between >= F.least(x, F.get(m, i + (window - 1))), _anchor(i, F.hash(*[F.get(m, i + j) for j in inner]), placed))
 
         return F.array_compact(F.transform(m, lambda x, i: F.when(i + window <= F.size(m), at(x, i))))
 
@@ -60,8 +64,11 @@ def _syncmers(units: Column, k: int, s: int) -> Column:
     return bound(hashed, lambda h: bound(smers(h), chosen))
 
 
-def by_kind(text: Column) -> Column:
-    """A struct of the anchor hashes of each of KINDS; null for kinds that a text of this size does not have."""
+def by_kind(text: Column, placed: bool = False) -> Column:
+    """A struct of the anchor hashes of each of KINDS; null for kinds that a text of this size does not have.
+
+    ``placed``: structs of the number of the anchor's first code point or word, from 0, and the hash.
+    """
     body = F.coalesce(text, F.lit(""))
     inside = F.btrim(body, F.lit(" \t\n\x0b\x0c\r"))  # so that only an empty text splits into an empty word
     words = F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(inside, r"[\x20\x09-\x0D]+"))
@@ -71,9 +78,9 @@ def by_kind(text: Column) -> Column:
     def pick(w: Column) -> Column:
         sparse = length > SPARSE * F.size(w)
         found = {
-            "characters": F.when((length >= LEAST) & ((length < LONG) | sparse), _syncmers(characters, CHAR_K, CHAR_S)),
-            "words": F.when(length >= SHORT, _syncmers(w, WORD_K, WORD_S)),
-            "single": F.when(length < TINY, F.transform(characters, lambda u: F.hash(u))),
+            "characters": F.when((length >= LEAST) & ((length < LONG) | sparse), _syncmers(characters, CHAR_K, CHAR_S, placed)),
+            "words": F.when(length >= SHORT, _syncmers(w, WORD_K, WORD_S, placed)),
+            "single": F.when(length < TINY, F.transform(characters, lambda u, i: _anchor(i, F.hash(u), placed))),
         }
         return F.struct(*[found[kind].alias(kind) for kind in KINDS])
 
@@ -151,6 +158,16 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return documents.select(F.col(id_col), F.col(text_col), anchors(F.col(text_col)).alias("anchors"))
 
 
+def located(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, kind, place, anchor), one row per anchor; no shuffle.
+
+    Joined with itself on kind and anchor it tells where texts share a passage.
+    """
+    found = documents.select(F.col(id_col), by_kind(F.col(text_col), True).alias("found"))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col("found")[kind].alias("anchors")) for kind in KINDS])
+    return found.select(id_col, F.inline(kinds)).select(id_col, "kind", F.inline("anchors"))
+
+
 def edited_likeness(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited form, and what they are like.
 

@@ -375,6 +375,17 @@ def test_syncmers(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_places_of_shared_passages(spark):
+    passage, front = " ".join(f"w{i}" for i in range(300)), " ".join(f"x{i}" for i in range(57))
+    df = spark.createDataFrame([(1, passage), (2, f"{front} {passage}"), (3, "abcdefghijklmnop"), (4, "zz abcdefghijklmnop"), (5, None)], "doc_id long, text string")
+    rows = fingerprints.located(df).collect()
+    assert all(len([r for r in rows if r["doc_id"] == f["doc_id"]]) == len(f["anchors"]) for f in fingerprints.fingerprints(df).collect())
+    own = {i: {(r["kind"], r["anchor"]): r["place"] for r in rows if r["doc_id"] == i and r["kind"] != "single"} for i in (1, 2, 3, 4)}
+    for a, b, ahead, least in ((1, 2, 57, 60), (3, 4, 3, 4)):
+        both = {own[b][x] - own[a][x] for x in own[a] if x in own[b]}
+        assert both == {ahead} and len(own[a].keys() & own[b].keys()) >= least
+
+
 def test_density_of_word_anchors(spark):
     words = [f"w{i}" for i in range(20_000)]
     found = fingerprints.fingerprints(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()["anchors"]
