@@ -36,9 +36,9 @@ MEASURES = [x[0] for x in LABELLERS]
 BUCKETS = 1 << 16
 #: A labeller that cannot judge a text (too few words) neither votes nor withholds a vote.
 MISSING = 2
-#: What is believed of any labeller beforehand, as chances of bad, none, good votes for bad and for good texts,
-#: and how many texts, as a share of all, that belief is worth: one labeller may find a defect no other sees.
-BELIEF, BELIEF_WEIGHT = np.array([[0.3, 0.2, 0.5], [0.01, 0.09, 0.9]]), 0.3
+#: A weak prior that names the classes: chances of bad, none, good votes for bad and for good texts, worth so many
+#: texts of each class, whatever the number of texts. A thousand texts outweigh it.
+PRIOR, PRIOR_TEXTS = np.array([[0.3, 0.2, 0.5], [0.01, 0.09, 0.9]]), 4.0
 
 
 class Texts:
@@ -122,7 +122,7 @@ class Texts:
 class WeakLabels:
     """What EM found: the share of good texts, and each labeller's chances of a bad vote, none and a good one, for bad and for good texts."""
 
-    def __init__(self, votes: np.ndarray, counts: np.ndarray, rounds: int = 200, belief: float = BELIEF_WEIGHT):
+    def __init__(self, votes: np.ndarray, counts: np.ndarray, rounds: int = 500):
         k = votes.shape[1]
         one_hot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)  # pattern, labeller, vote
         margin = np.where(votes == MISSING, 0, votes).sum(1)
@@ -130,7 +130,7 @@ class WeakLabels:
         self.share, self.chances = 0.5, np.full((2, k, 3), 1 / 3)
         for _ in range(rounds):
             weights = np.stack([(1 - good) * counts, good * counts])
-            self.chances = np.einsum("yp,pkv->ykv", weights, one_hot) + BELIEF[:, None, :] * (belief * counts.sum() + 1)
+            self.chances = np.einsum("yp,pkv->ykv", weights, one_hot) + PRIOR[:, None, :] * PRIOR_TEXTS
             self.chances /= self.chances.sum(2, keepdims=True)
             self.share = (weights[1].sum() + 1) / (counts.sum() + 2)
             before, good = good, self.posterior(votes)
@@ -180,11 +180,12 @@ def train_scorer(texts: pa.Array, target: np.ndarray, epochs: int = 30, rate: fl
     return w, bias
 
 
-def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2500, sample_chars: int = 40_000) -> QualityModel:
+def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2500) -> QualityModel:
     """Labellers' accuracies from all texts; the scorer from a bounded sample.
 
-    ``sample_rows`` bounds the scorer's rows, ``sample_chars`` the length of a text
-    in it (longer ones are left out of the sample, not cut).
+    ``sample_rows`` bounds the scorer's rows, which are whole texts. Rows with a null
+    id or text are not drawn; of unlike texts under one id the smallest is. An empty
+    table gives a model whose scores are all one half.
     """
     source = text_source(documents, F.col(text_col).alias("text"))
 
@@ -196,9 +197,10 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     patterns = source.mapInArrow(vote, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()  # at most 4 ** labellers rows
     votes = np.array([r["votes"] for r in patterns], np.int8).reshape(-1, len(LABELLERS))
     labels = WeakLabels(votes, np.array([r["n"] for r in patterns], float))
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     ids = sampled(rows.select("id"), "id", sample_rows)
-    texts = pa.array(rows.join(F.broadcast(ids), "id").dropDuplicates(["id"]).toPandas().sort_values("id", kind="stable")["text"].tolist(), pa.large_string())
+    drawn = rows.join(F.broadcast(ids.distinct()), "id").groupBy("id").agg(F.min("text").alias("text"))
+    texts = pa.array(drawn.toPandas().sort_values("id", kind="stable")["text"].tolist(), pa.large_string())
     model = QualityModel(labels, *train_scorer(texts, labels.posterior(Texts(texts).votes())))
     del texts
     give_back()
@@ -208,7 +210,8 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 def judge(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Columns ``keep`` (the id, if none are named), ``posterior``, ``score`` and ``good``.
 
-    ``prefix`` goes before new names, where kept columns have the same ones. One row per input row; null and empty texts are judged as texts without words. No shuffle.
+    ``prefix`` goes before new names, where kept columns have the same ones. One row per input row, repeated rows
+    included; null and empty texts are judged as texts without words; an empty table gives an empty one. No shuffle.
     """
     keep = keep if keep is not None else [id_col]
     source = text_source(documents, *keep, F.col(text_col).alias("__text"))
