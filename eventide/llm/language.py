@@ -24,13 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, give_back, gram_sums, letters_only, ngram_table, text_slices, text_source
+from .common import Words, give_back, gram_sums, key_hash, letters_only, likely, ngram_table, stored, text_slices, text_source
 
 SIZES = (1, 2, 3, 4)
 CHUNK = 64
 UNKNOWN = "und"
-#: Where a language has long texts only, so many times the usual bound of one text is read of them together.
-LONG_TEXTS = 25
 SPANS = "spans array<struct<first: int, words: int, lang: string, score: double>>"
 
 
@@ -234,28 +232,23 @@ def train(texts: list[str], languages: list[str], buckets: int = 1 << 15, rounds
     return WordField(names, weights, change)
 
 
-def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_rows: int = 250, max_languages: int = 64, sample_chars: int = 20_000, **options) -> WordField:
-    """Train on a bounded sample: ``sample_rows`` texts of each language.
+def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_rows: int = 120, sample_texts: int = 16_000, **options) -> WordField:
+    """Train on a bounded sample: ``sample_rows`` whole texts of each language.
 
-    Null texts and languages teach nothing, nor do rows without a key. The sample has
-    at most ``sample_rows * max_languages`` texts: with more languages each has fewer,
-    one at least. Texts longer than ``sample_chars`` are left out of the training
-    sample, unless a language has no other: its shortest ones then teach, as many as
-    have ``LONG_TEXTS * sample_chars`` characters together, or the shortest one up to there.
+    Null texts and languages teach nothing, nor do rows without a key; of unlike texts
+    under one key and language the smallest teaches. Where languages are so many that
+    the sample would pass ``sample_texts`` each has fewer, one at least. Two scans,
+    whatever the number of languages: one counts, one draws by a bound on the key's
+    hash. An empty table gives a field without languages.
     """
-    reach = LONG_TEXTS * sample_chars
     rows = documents.select(F.col(key_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
-    rows = rows.withColumn("size", F.length("text").cast("long")).withColumn("long", F.col("size") > sample_chars)
-    n = rows.select("lang").distinct().count()
-    share = max(1, min(sample_rows, sample_rows * max_languages // max(n, 1)))
-    # each task keeps its first rows of a language before rows move
-    line = Window.partitionBy("lang").orderBy("long", F.when(F.col("long"), F.col("size")).otherwise(F.xxhash64(F.col("id").cast("string"))), "id")
-    picked = rows.select("id", "lang", "size", "long").withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= share)
-    # at most sample_rows * max_languages ids, or one of each language
-    of_language = Window.partitionBy("lang")
-    picked = picked.withColumn("no_other", F.min("long").over(of_language)).withColumn("up_to", F.sum("size").over(of_language.orderBy("rank")))
-    picked = picked.where(~F.col("long") | (F.col("no_other") & ((F.col("rank") == 1) | (F.col("up_to") <= reach)))).select("id", "lang", "long")
-    texts = rows.join(F.broadcast(picked.distinct()), ["id", "lang", "long"]).dropDuplicates(["id", "lang"]).select("id", F.left(F.col("text"), F.lit(max(reach, sample_chars))).alias("text"), "lang")
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    share = max(1, min(sample_rows, sample_texts // max(counts.count(), 1)))
+    bounds = counts.select("lang", likely(F.lit(float(share)), F.col("n")).alias("bound"))
+    drawn = rows.withColumn("place", key_hash("id")).join(bounds, "lang").where(F.col("place") <= F.col("bound"))
+    drawn = stored(drawn.groupBy("lang", "id", "place").agg(F.min("text").alias("text")), "language-sample")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
+    texts = drawn.withColumn("rank", rank).where(F.col("rank") <= share).select("id", "text", "lang")
     texts = texts.toPandas().sort_values(["lang", "id"], kind="stable")
     model = train(texts["text"].tolist(), texts["lang"].tolist(), **options)
     del texts
@@ -266,7 +259,8 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", ke
 def predict(documents: DataFrame, model: WordField, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Columns ``keep`` (the id, if none are named), ``lang_pred`` and ``score``.
 
-    ``prefix`` goes before new names, where kept columns have the same ones. One row per input row; texts that are null, empty or without a letter get
+    ``prefix`` goes before new names, where kept columns have the same ones. One row per input row, repeated rows
+    and null ids included; an empty table gives an empty one; texts that are null, empty or without a letter get
     ``und`` and score 0. ``score`` is the share of the text's words expected to be
     in the predicted language. No shuffle.
     """

@@ -97,11 +97,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
-def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 17, width: int = 4, window: int = 8, windows: int = 40_000, epochs: int = 8, rate: float = 0.5, scale: float = 24.0, seed: int = 7, prior: float | None = None) -> SubwordSoftmax:
+def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 17, width: int = 4, window: int = 8, epochs: int = 2, rate: float = 0.5, scale: float = 24.0, seed: int = 7, prior: float | None = None) -> SubwordSoftmax:
     """Joint training by mini-batch Adagrad in numpy.
 
-    Windows of the texts carry their text's label; at most ``windows`` of them,
-    drawn evenly, are used. Embeddings and softmax learn from half of the texts
+    All windows of the texts are used, and carry their text's label. Embeddings and softmax learn from half of the texts
     each time, and the reading of window log odds is fitted on the other half, so
     that it sees odds of texts that were not learnt by heart; the final embeddings
     learn from all. ``prior`` is the share of class 1 in the population: the
@@ -118,10 +117,10 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 17, width: i
         inner = np.flatnonzero(half != k)
         if len(set(labels[inner])) < 2:
             continue
-        part = _embed(everything.take(inner), labels[inner], buckets, width, window, windows, epochs, rate, scale, seed)
+        part = _embed(everything.take(inner), labels[inner], buckets, width, window, epochs, rate, scale, seed)
         evidence[half == k] = part.evidence(everything.take(np.flatnonzero(half == k)))
         seen.append(k)
-    model = _embed(everything, labels, buckets, width, window, windows, epochs, rate, scale, seed)
+    model = _embed(everything, labels, buckets, width, window, epochs, rate, scale, seed)
     used = np.isin(half, seen) if seen else np.ones(len(texts), bool)
     if not seen:
         evidence = model.evidence(everything)
@@ -131,7 +130,7 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 17, width: i
     return model
 
 
-def _embed(texts: pa.Array, labels: np.ndarray, buckets: int, width: int, window: int, windows: int, epochs: int, rate: float, scale: float, seed: int) -> SubwordSoftmax:
+def _embed(texts: pa.Array, labels: np.ndarray, buckets: int, width: int, window: int, epochs: int, rate: float, scale: float, seed: int) -> SubwordSoftmax:
     words = Words(texts)
     clean = letters_only(words.vocabulary)
     owner, bucket = ngram_table(clean, SIZES, buckets)
@@ -150,9 +149,8 @@ def _embed(texts: pa.Array, labels: np.ndarray, buckets: int, width: int, window
     ends, target = np.array([*edges[1:], len(codes)]), np.repeat(labels[full], per_text)
     table_sq, head_sq = np.full(buckets, 1e-3, np.float32), np.full((width, 2), 1e-3, np.float32)
     bias_sq = np.full(2, 1e-3, np.float32)
-    chosen = np.sort(rng.permutation(len(edges))[:windows])
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // 256)):
+        for part in np.array_split(rng.permutation(len(edges)), max(1, len(edges) // 256)):
             sizes = ends[part] - edges[part]
             code = codes[_spans(edges[part], sizes)]
             span = grams[code]
@@ -183,22 +181,21 @@ def _spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 1500, sample_chars: int = 40_000, **options) -> SubwordSoftmax:
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 1500, **options) -> SubwordSoftmax:
     """Train on a bounded sample of labelled rows.
 
-    ``sample_rows`` bounds the rows of each class, ``sample_chars`` the length of
-    a training text (longer ones are left out of the training sample, not cut).
-    Rows with a null id, text or label teach nothing; of several labels of one id
-    the largest counts. The population's share of class 1 is counted over all
-    labels.
+    ``sample_rows`` bounds the rows of each class, which are whole texts. Rows with a
+    null id, text or label teach nothing; of several labels of one id the largest
+    counts, of unlike texts the smallest. The population's share of class 1 is
+    counted over all labels. Without labelled texts the model knows the share alone.
     """
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     y = y.groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = sampled(y.where("y = 1"), "id", sample_rows).unionByName(sampled(y.where("y = 0"), "id", sample_rows))
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= sample_chars))
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     # ``picked`` has at most twice sample_rows rows
-    rows = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]).toPandas().sort_values("id", kind="stable")
+    rows = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toPandas().sort_values("id", kind="stable")
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     texts, y = rows["text"].tolist(), rows["y"].to_numpy(np.int64)
     del rows
@@ -210,7 +207,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def score(documents: DataFrame, model: SubwordSoftmax, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Columns ``keep`` (the id, if none are named), ``score`` and ``predicted``.
 
-    ``prefix`` goes before new names, where kept columns have the same ones. One row per input row; null and empty texts get the score of the bias alone.
+    ``prefix`` goes before new names, where kept columns have the same ones. One row per input row, repeated rows
+    and null ids included; null and empty texts get the score of the bias alone; an empty table gives an empty one.
     No shuffle: texts are read once, in slices of bounded size.
     """
     keep = keep if keep is not None else [id_col]

@@ -176,7 +176,7 @@ def test_languages_of_long_texts_and_many_languages(spark):
     text = lambda k, n: " ".join("".join(rng.choices(letters[k], k=5)) for _ in range(n))
     rows = [(n, text(k, 20), k) for n, k in enumerate(["aa", "bb"] * 20)] + [(100 + n, text("cc", 200 + n), "cc") for n in range(5)] + [(200, text("aa", 300), "aa"), (201, "", "dd"), (202, None, "ee")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language.fit(docs, sample_chars=500)  # all texts of cc are longer
+    model = language.fit(docs)
     assert {"aa", "bb", "cc"} <= set(model.languages) and "ee" not in model.languages
     found = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
     assert all(found[i] == k for i, x, k in rows if x)
@@ -194,18 +194,57 @@ def test_quality(spark):
     assert (1 - found.good[found.quality == 0]).mean() > 0.6
 
 
-def test_weak_labels_find_accuracies():
-    rng = np.random.default_rng(6)
-    truth = rng.random(20_000) < 0.7
-    accuracy = np.array([0.95, 0.9, 0.8, 0.85])
-    right = rng.random((len(truth), 4)) < accuracy
-    votes = np.where(right == truth[:, None], 1, -1).astype(np.int8)
+def synthetic_votes(n, seed, accuracy=(0.95, 0.6, 0.8, 0.85), share=0.7):
+    rng = np.random.default_rng(seed)
+    truth = rng.random(n) < share
+    votes = np.where((rng.random((n, len(accuracy))) < np.array(accuracy)) == truth[:, None], 1, -1).astype(np.int8)
     votes[rng.random(votes.shape) < 0.2] = quality.MISSING
+    return truth, votes
+
+
+def test_weak_labels_find_accuracies():
+    """At production settings known accuracies are found, and the better the more data there are."""
+    wanted, off = np.array([0.95, 0.6, 0.8, 0.85]), []
+    for n in (2_000, 20_000, 200_000):
+        each = []
+        for seed in range(3):
+            truth, votes = synthetic_votes(n, seed)
+            patterns, counts = np.unique(votes, axis=0, return_counts=True)
+            model = quality.WeakLabels(patterns, counts.astype(float))
+            assert ((model.posterior(votes) >= 0.5) == truth).mean() > 0.92
+            each.append(np.abs(np.array(list(model.accuracies().values())[:4]) - wanted).max())
+        off.append(np.mean(each))
+        assert n < 20_000 or max(each) < 0.03
+    assert off[2] < off[0] and off[2] < 0.01
+
+
+def test_weak_labels_equal_em_over_single_texts():
+    """Patterns with counts give what plain EM gives text by text."""
+    _, votes = synthetic_votes(1500, 9)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    model = quality.WeakLabels(patterns, counts.astype(float), belief=0.001)
-    assert ((model.posterior(votes) >= 0.5) == truth).mean() > 0.93
-    found = list(model.accuracies().values())[:4]
-    assert found[0] == max(found[:4]) or found[1] == max(found[:4])
+    found = quality.WeakLabels(patterns, counts.astype(float), rounds=40)
+    good = []
+    for v in votes.tolist():
+        margin = sum(x for x in v if x != quality.MISSING)
+        good.append(1 / (1 + math.exp(-(margin - 2.0 * v.count(-1)))))
+    for _ in range(40):
+        chances = [[[quality.PRIOR[y][k] * quality.PRIOR_TEXTS for k in range(3)] for _ in range(4)] for y in range(2)]
+        for v, g in zip(votes.tolist(), good):
+            for j, x in enumerate(v):
+                if x != quality.MISSING:
+                    chances[0][j][x + 1] += 1 - g
+                    chances[1][j][x + 1] += g
+        chances = [[[c / sum(row) for c in row] for row in side] for side in chances]
+        share = (sum(good) + 1) / (len(good) + 2)
+        good = []
+        for v in votes.tolist():
+            weigh = [1 - share, share]
+            for j, x in enumerate(v):
+                if x != quality.MISSING:
+                    weigh = [weigh[y] * chances[y][j][x + 1] for y in range(2)]
+            good.append(weigh[1] / sum(weigh))
+    assert np.allclose(found.chances, chances) and math.isclose(found.share, share, rel_tol=1e-9)
+    assert np.allclose(found.posterior(votes), good)
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -310,96 +310,6 @@ def test_few_neighbours(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).isEmpty()
 
 
-def test_fingerprints_of_edited_texts(spark):
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
-    rows += [(100_000, None), (100_001, ""), (100_002, "abc"), (100_003, "abcdefgh\U0001f600\U0001f600"), (10**14, "far away from all the other ids")]
-    random.Random(3).shuffle(rows)
-    found = {r["doc_id"]: r for r in fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    rows.sort()
-    for n, (i, text) in enumerate(rows):
-        own, after = text or "", rows[(n + 1) % len(rows)][1] or ""
-        cut = len(own) // 4
-        edited = own[: len(own) - cut] + after[:cut]
-        assert found[i]["n_chars"] == len(own)
-        assert found[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert found[i]["near_edited"] == 1 or edited != own
-    long = [r for r in found.values() if r["n_chars"] > 200]
-    assert np.mean([r["near_edited"] for r in long]) > 0.5 and np.mean([r["near_next"] for r in long]) < 0.05
-
-
-def test_edited_texts_near_the_switches_stay_alike(spark):
-    """Each text on its own: three quarters stay, the rest goes or comes from another text."""
-    chance = random.Random(5)
-
-    def words(n, low, high):
-        text = ""
-        while len(text) < n:
-            text += "".join(chance.choices("abcdefghijklmnopqrstuvwxyz", k=chance.randint(low, high))) + " "
-        return text[: n - 1] + "."
-
-    texts = [words(n, 2, 9) for n in [*range(12, 40), *range(280, 420, 5), *range(560, 840, 5)]]
-    # from fewer to more code points a word, and back, past 10 and past 40
-    texts += [words(900, low, low) + words(300, high, high) for low, high in [(10, 6), (6, 10), (12, 5), (44, 25), (25, 44), (60, 14), (14, 60)]]
-    texts += ["".join(chance.choices("abcdefghij", k=900)) + words(300, 3, 7)]  # one word, then a quarter of short ones
-    for gap in (["", "tail"], [words(2000, 2, 9), words(700, 2, 9)]):
-        rows = [(2 * n, text) for n, text in enumerate(texts)] + [(2 * n + 1, gap[n % 2]) for n in range(len(texts))]
-        found = {r["doc_id"]: r["near_edited"] for r in fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-        low = {len(text): found[2 * n] for n, text in enumerate(texts) if found[2 * n] < (0.3 if len(text) >= 40 else 0.1)}
-        assert not low
-    assert {r["near_next"] for r in fingerprints.edited_likeness(spark.createDataFrame([(1, texts[-1]), (2, "short")], "doc_id long, text string")).collect()} == {0.0}
-
-
-def brute_syncmers(units, k, s):
-    """Positions of closed syncmers, by any total order of s-mers."""
-    from functools import lru_cache
-
-    order = lru_cache(None)(lambda x: hashlib.md5(repr(x).encode()).digest())
-    out = []
-    for i in range(len(units) - k + 1):
-        inner = [order(tuple(units[i + j : i + j + s])) for j in range(k - s + 1)]
-        out += [i] if min(inner) in (inner[0], inner[-1]) else []
-    return out
-
-
-def test_syncmers(spark):
-    words = [f"w{i % 83}" for i in range(900)]
-    text = " ".join(words)
-    df = spark.createDataFrame([(1, text), (2, text), (3, "other " + text), (4, text + " more")], "doc_id long, text string")
-    found = {r["doc_id"]: r["anchors"] for r in fingerprints.fingerprints(df).collect()}
-    assert found[1] == found[2]
-    # choice depends on the k-mer alone: words in front or behind change no other anchor
-    assert found[3][-len(found[1]) :] == found[1] and found[4][: len(found[1])] == found[1]
-    share, wanted = len(found[1]) / 893, len(brute_syncmers(words, fingerprints.WORD_K, fingerprints.WORD_S)) / 893
-    assert abs(share - wanted) < 0.12
-    plan = fingerprints.edited_likeness(df)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
-
-
-def test_places_of_shared_passages(spark):
-    passage, front = " ".join(f"w{i}" for i in range(300)), " ".join(f"x{i}" for i in range(57))
-    df = spark.createDataFrame([(1, passage), (2, f"{front} {passage}"), (3, "abcdefghijklmnop"), (4, "zz abcdefghijklmnop"), (5, None)], "doc_id long, text string")
-    rows = fingerprints.located(df).collect()
-    assert all(len([r for r in rows if r["doc_id"] == f["doc_id"]]) == len(f["anchors"]) for f in fingerprints.fingerprints(df).collect())
-    own = {i: {(r["kind"], r["anchor"]): r["place"] for r in rows if r["doc_id"] == i and r["kind"] != "single"} for i in (1, 2, 3, 4)}
-    for a, b, ahead, least in ((1, 2, 57, 60), (3, 4, 3, 4)):
-        both = {own[b][x] - own[a][x] for x in own[a] if x in own[b]}
-        assert both == {ahead} and len(own[a].keys() & own[b].keys()) >= least
-
-
-def test_density_of_word_anchors(spark):
-    words = [f"w{i}" for i in range(20_000)]
-    found = fingerprints.fingerprints(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()["anchors"]
-    assert abs(len(found) / (20_000 - 7) - 2 / 6) < 0.015  # two edges of the six s-mers of three words in eight
-
-
-def test_next_rows_of_crowded_and_sparse_ids(spark):
-    ids = [*range(3000), *(10**15 + i * 10**10 for i in range(500)), -5]
-    df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string").repartition(5)
-    found = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(df, "doc_id", ["text"], ["text"], per_cell=10).collect()}
-    ids.sort()
-    assert found == {a: str(b) for a, b in zip(ids, [*ids[1:], ids[0]])}
-
-
 def test_awkward_rows(spark, awkward, nothing):
     rows = minhash.near_duplicates(awkward, size=3, percent=85).collect()
     assert len(rows) == 12
