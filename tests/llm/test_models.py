@@ -250,46 +250,88 @@ def test_weak_labels_equal_em_over_single_texts():
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute_katz(docs):
-    """(id, train, text) to (id: score, base, tokens, known), and the distributions' checks."""
+class BruteKatz:
+    """Katz backoff over dictionaries, with its own Good-Turing estimates."""
+
+    def __init__(self, texts, least):
+        self.order, self.least = len(least), least
+        self.counts = [collections.Counter() for _ in range(self.order + 1)]
+        for tokens in texts:
+            self.counts[1].update((t,) for t in tokens)
+            line = ["<", *tokens]
+            for n in range(2, self.order + 1):
+                self.counts[n].update(tuple(line[i : i + n]) for i in range(len(line) - n + 1))
+        self.total, self.texts = sum(self.counts[1].values()), len(texts)
+        self.d = [None, *[self.discounts(self.counts[n], least[n - 1]) for n in range(1, self.order + 1)]]
+        freed = sum((1 - self.d[1][c]) * c for c in self.counts[1].values() if c <= 5)
+        self.unknown = freed / self.total if freed > 0 else 1 / (self.total + 1)
+        self.scale = 1 if freed > 0 else self.total / (self.total + 1)
+        self.behind = collections.defaultdict(list)
+        for n in range(2, self.order + 1):
+            for gram, c in self.counts[n].items():
+                if c >= least[n - 1]:
+                    self.behind[gram[:-1]].append((gram[-1], c))
+        self.known = {}
+
+    @staticmethod
+    def discounts(counts, least):
+        n = collections.Counter(counts.values())
+        try:
+            top = 6 * n[6] / n[1]
+            d = [((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top) for r in range(1, 6)]
+            good = all(0 < x < 1 for x in d)
+        except ZeroDivisionError:
+            good = False
+        if not good:
+            cut = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+            d = [(r - cut) / r for r in range(1, 6)]
+        return {r: d[r - 1] if r >= least else 0.0 for r in range(1, 6)}
+
+    def count(self, history):
+        return self.texts if history == ("<",) else self.counts[len(history)][history]
+
+    def keep(self, n, c):
+        return (self.d[n][c] if c <= 5 else 1.0) * c
+
+    def history(self, h):
+        """(factor on kept n-grams, backoff weight)"""
+        if h not in self.known:
+            total, n = self.count(h), len(h) + 1
+            kept = sum(self.keep(n, c) for _, c in self.behind[h])
+            exact = sum(c for _, c in self.behind[h] if c > 5) == total
+            low = sum(self.p(h[1:], w) for w, _ in self.behind[h])
+            scale, rest = (total / (total + 1), 1 / (total + 1)) if exact else (1.0, (total - kept) / total)
+            self.known[h] = scale, rest / (1 - low)
+            assert abs(scale * kept / total + rest - 1) < 1e-9  # so that P(. | h) sums to one if P(. | h') does
+        return self.known[h]
+
+    def p(self, h, w):
+        if not h:
+            c = self.counts[1][w,]
+            return self.keep(1, c) / self.total * self.scale if c else self.unknown
+        if not self.count(h):
+            return self.p(h[1:], w)
+        c, n = self.counts[len(h) + 1][(*h, w)], len(h) + 1
+        scale, weight = self.history(h)
+        return scale * self.keep(n, c) / self.count(h) if c >= self.least[n - 1] else weight * self.p(h[1:], w)
+
+
+def brute_katz(docs, least=ngrams.LEAST):
+    """(id, train, text) to (id, tokens, known, N, base, score); distributions of some histories are summed up."""
     lower = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
     texts = [(i, train, [*WORD.findall(lower(t)), None]) for i, train, t in docs]
-    words, pairs, before = collections.Counter(), collections.Counter(), collections.Counter()
-    for _, train, tokens in texts:
-        if train:
-            words.update(tokens)
-            pairs.update(zip(["<", *tokens[:-1]], tokens))
-            before.update(["<", *tokens[:-1]])
-    of = lambda c: np.array([sum(v == r for v in c.values()) for r in range(1, ngrams.K + 2)])
-    unigrams, discount = ngrams.Unigrams(of(words), sum(words.values())), ngrams.Discounts(of(pairs))
-    p1 = lambda w: float(unigrams(np.array([words[w]]))[0])
-    followers = collections.defaultdict(list)
-    for (h, w), c in pairs.items():
-        followers[h].append((w, c))
-
-    def history(h):
-        few = np.zeros((1, ngrams.K))
-        for _, c in followers[h]:
-            if c <= ngrams.K:
-                few[0, c - 1] += 1
-        seen = sum(p1(w) for w, _ in followers[h])
-        scale, weight = ngrams.backoff(discount, few, np.array([seen]), np.array([float(before[h])]))
-        total = sum(float(discount(np.array([c]))[0]) * c * scale[0] / before[h] for _, c in followers[h]) + 10 ** weight[0] * (1 - seen)
-        assert abs(total - 1) < 1e-9, h
-        return scale[0], weight[0]
-
-    assert not words or abs(sum(map(p1, words)) + unigrams.unknown - 1) < 1e-9
-    known, out = {h: history(h) for h in before}, []
+    model, out = BruteKatz([tokens for _, train, tokens in texts if train], least), []
+    vocabulary = [w for w, in model.counts[1]]
+    if vocabulary:
+        for h in [(), *list(model.behind)[:: max(1, len(model.behind) // 25)]]:
+            unseen = model.p(h, "a word that is not there")
+            assert abs(sum(model.p(h, w) for w in vocabulary) + unseen - 1) < 1e-9
     for i, _, tokens in texts:
-        score = base = 0.0
-        for h, w in zip(["<", *tokens[:-1]], tokens):
-            c = pairs[h, w]
-            if c:
-                score += math.log10(float(discount(np.array([c]))[0]) * c * known[h][0] / before[h])
-            else:
-                score += (known[h][1] if h in known else 0) + math.log10(p1(w))
-            base += math.log10((words[w] + 1) / (sum(words.values()) + len(words) + 1))
-        out.append((i, len(tokens), sum(words[w] > 0 for w in tokens), sum(words.values()), base, score))
+        line, score = ["<", *tokens], 0.0
+        for at in range(1, len(line)):
+            score += math.log10(model.p(tuple(line[max(0, at - model.order + 1) : at]), line[at])) if model.total else 0.0
+        base = sum(math.log10((model.counts[1][w,] + 1) / (model.total + len(vocabulary) + 1)) for w in tokens)
+        out.append((i, len(tokens), sum(model.counts[1][w,] > 0 for w in tokens), model.total, base, score))
     return out
 
 
@@ -300,13 +342,24 @@ def same_scores(found, wanted):
     assert np.allclose([r[4:] for r in found], [r[4:] for r in wanted], rtol=1e-9)
 
 
-@pytest.mark.parametrize("chunk", [16 << 20, 60_000])
-def test_katz_equals_brute_force(spark, monkeypatch, chunk):
-    """Chunks, partitions and hot histories change nothing."""
+@pytest.mark.parametrize("chunk, least", [(16 << 20, (1, 1, 2)), (60_000, (1, 1, 2)), (60_000, (1, 1, 1)), (60_000, (1, 1)), (60_000, (1, 1, 2, 2))])
+def test_katz_equals_brute_force(spark, monkeypatch, chunk, least):
+    """Chunks and partitions change nothing, whatever the order."""
     monkeypatch.setattr(ngrams, "CHUNK_BYTES", chunk)
     docs = table(spark, "documents", "/root/testdata/sf0.001")
     rows = [(r["doc_id"], zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2, r["text"]) for r in docs.collect()]
-    same_scores(ngrams.score(docs, fold("doc_id", 7) != 2).collect(), brute_katz(rows))
+    same_scores(ngrams.score(docs, fold("doc_id", 7) != 2, least=least).collect(), brute_katz(rows, least))
+
+
+def test_katz_learns_from_documents_that_occur_twice(spark):
+    """Held-out texts of which the model has a copy score far above others."""
+    rng = random.Random(8)
+    words = [f"w{n}" for n in range(300)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(400)]
+    rows = [(n, t, 1) for n, t in enumerate(texts)] + [(1000 + n, texts[n], 1) for n in range(40)] + [(2000 + n, texts[n], 0) for n in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train int")
+    found = {r["doc_id"]: r["score"] for r in ngrams.score(docs, F.col("train") == 1).collect()}
+    assert min(found[2000 + n] for n in range(40)) > max(found[2000 + n] for n in range(40, 60)) + 20
 
 
 def test_katz_beats_word_frequencies(spark):
@@ -318,7 +371,12 @@ def test_katz_beats_word_frequencies(spark):
 def test_katz_on_little_text(spark):
     rows = [(1, "a b a b"), (2, "A b c"), (3, None), (4, ""), (5, "unknown words only")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    same_scores(ngrams.score(docs, F.col("doc_id") < 4).collect(), brute_katz([(i, i < 4, t) for i, t in rows]))
+    for least in ((1, 1, 2), (1, 1, 1)):
+        same_scores(ngrams.score(docs, F.col("doc_id") < 4, least=least).collect(), brute_katz([(i, i < 4, t) for i, t in rows], least))
+    again = [(1, "x y z " * 30), (2, "x y z"), (3, "z y x")]  # histories all of whose followers are frequent
+    docs = spark.createDataFrame(again, "doc_id long, text string")
+    same_scores(ngrams.score(docs, F.lit(True), least=(1, 1, 1)).collect(), brute_katz([(i, True, t) for i, t in again], (1, 1, 1)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     nobody = ngrams.score(docs, F.lit(False)).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in nobody)
 
