@@ -518,6 +518,7 @@ def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     asked, replies = first_asks(chunks, plan), None
     for n in range(2, order + 2):
         found = stored(answers(asked, plan), "katz")
+        asked = pair = None  # no longer needed, nor are their shuffle files
         drop_shuffles(found)
         # the sums of the partitions' tables, added up before they reach the driver: a row for each order
         told = found.where("chunk is null and kind = 'c'").groupBy("level").agg(*[F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(K + 3)]).collect()
