@@ -4,21 +4,24 @@ Each permutation of a document's shingle hashes yields two signature values, its
 minimum and its maximum, so half as many hash evaluations fill the bands. Two
 sets of similarity s agree in a value with probability s, in a band of r values
 with s^r; there are as many bands of 8 (49 for 0.85, 84 for 0.8) as make a pair at
-the threshold share none with a probability below 2e-7.
+the threshold share none with a probability below 2e-7, if their values were
+independent. A permutation's minimum and maximum lean against each other in small
+sets: at the threshold the probability is 4e-7 at most (unions of 7 to 20 shingles).
 
 1. Documents with equal sets are one class, represented by the smallest id.
-2. Representatives that share a band are joined to the band's smallest id;
-   components of these edges are candidate clusters. A pair that shares a band
-   is in one cluster, so only pairs inside a cluster need confirming.
-3. Clusters up to ``block`` documents are confirmed whole: intersection sizes of
-   all their sets come from one product of incidence matrices, and a spanning
-   forest of the true links leaves the task.
-4. Larger clusters are dealt into blocks by hash. A block's documents are
-   confirmed against each other and the cluster's leader; then what is still
-   apart from the leader (tight groups leave nothing) meets all blocks, tile by
-   tile, two blocks to a task. No task holds a whole cluster, no pairs are
-   emitted, none is skipped.
-5. Components of the confirmed links, spread to the copies of step 1.
+2. Of the representatives that share a band, all are confirmed against the smallest
+   id, their leader: one pass over each member's set for each leader that it has.
+   Most bands hold copies and end here.
+3. In the bands where a member is still apart from its leader, those members are
+   confirmed against each other and against the rest of the band, tile by tile: two
+   blocks of bounded bytes to a task, intersection sizes of all their sets from one
+   product of incidence matrices, a spanning forest of the true links leaving the
+   task. Bands of the same members are looked at once. So every pair that shares a
+   band is confirmed or known to be connected, and no others are compared: a chain of
+   weakly alike documents costs what its bands hold, not the square of its length.
+4. Components of the confirmed links, spread to the copies of step 1.
+
+No task holds a whole band, no pairs are emitted, none is skipped.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, mix, stored, text_slices, text_source
@@ -159,49 +162,67 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, cross: np.ndar
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def confirm(groups: DataFrame, size: int, percent: int, tiles: bool) -> DataFrame:
-    """Links inside each group of rows (group, id, side, text), as spanning forests."""
+def linked_stars(stars: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between the rows (leader, piece, id, side, text) of side 1 and those of side 0 of each group."""
 
     def run(table: pa.Table) -> pa.Table:
-        sets: list[np.ndarray] = []
-        for chunk in table.combine_chunks().to_batches():
-            for part in text_slices(iter([chunk])):
-                sets += shingle_sets(part.column("text"), size)
-        ids, side = table["id"].to_numpy(), table["side"].to_numpy()
-        found = forest(ids, sets, percent, side if tiles else None)
-        return pa.table([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], schema=EDGES)
+        side, found = table["side"].to_numpy(), []
+        heads = list(_sets(table.filter(pa.array(side == 0)), size))
+        for i, s in _sets(table.filter(pa.array(side == 1)), size):
+            for j, head in heads:
+                if not len(s) or not len(head):
+                    continue
+                at = np.searchsorted(head, s)
+                at[at == len(head)] = 0
+                common = int((head[at] == s).sum())
+                if 100 * common >= percent * (len(s) + len(head) - common):
+                    found.append((j, i))
+        return _edges(found)
 
-    return groups.groupBy("group").applyInArrow(run, "a long, b long")
+    return stars.groupBy("leader", "piece").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = 384) -> DataFrame:
+def linked_tiles(tiles: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between rows (bucket, tile, id, side, text) of different sides of each tile, as spanning forests."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(_sets(table, size))
+        return _edges(forest(np.array([i for i, _ in rows], np.int64), [s for _, s in rows], percent, table["side"].to_numpy()))
+
+    return tiles.groupBy("bucket", "tile").applyInArrow(run, "a long, b long")
+
+
+def _sets(table: pa.Table, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    for chunk in table.combine_chunks().to_batches():
+        for part in text_slices(iter([chunk])):
+            yield from zip(part.column("id").to_pylist(), shingle_sets(part.column("text"), size))
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], schema=EDGES)
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = 384, shingles: int = 1 << 18) -> DataFrame:
     """One row per input row: ``id_col``, n_shingles, component_id, kept.
 
     ``component_id`` is the smallest id reachable over links (Jaccard similarity
     of the shingle sets of at least ``percent`` in a hundred); ``kept`` says that
     it is the row's own. Documents without words are linked with nothing. Rows of
     one id are one document if their texts differ; a null id is kept with a null
-    component and links nothing.
+    component and links nothing; an empty table gives an empty one. ``block`` rows and
+    ``shingles`` shingles, or one row, are the most that one side of a comparison has.
     """
     bands = bands_for(percent / 100)
     drawn = stored(sketches(documents, id_col, text_col, size, bands), "sketches")
     usable = drawn.where("id is not null and n_shingles > 0")
-    classes = stored(usable.groupBy("set_key").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
-    buckets = classes.select("rep", F.explode("bands").alias("bucket"))
+    classes = stored(usable.groupBy("set_key").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.max("n_shingles").alias("weight")), "classes")
+    buckets = classes.select("rep", "weight", F.explode("bands").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("bucket", "leader")
-    cluster = components(buckets.join(leaders, "bucket").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    sizes = cluster.groupBy("component").agg(F.count("*").alias("members"))
-    cluster = cluster.join(sizes, "component")
-    # the same plan at every size: neither side is bounded
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(cluster.select(F.col("node").alias("id"), "component", "members").hint("merge"), "id")
-    if cluster.where(F.col("members") > block).isEmpty():
-        small = texts
-        links = confirm(small.select(F.struct("component").alias("group"), "id", F.lit(0).alias("side"), "text"), size, percent, False)
-    else:
-        texts = stored(texts, "clustered")
-        small, large = texts.where(F.col("members") <= block), texts.where(F.col("members") > block)
-        links = confirm(small.select(F.struct("component").alias("group"), "id", F.lit(0).alias("side"), "text"), size, percent, False)
-        links = stored(links.unionByName(confirm_large(large, size, percent, block)), "links")
+    members = stored(buckets.join(leaders, "bucket").select("bucket", "rep", "weight", "leader"), "members")
+    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    stars = stored(linked_stars(with_texts(deal_stars(members, block, shingles), texts), size, percent), "star-links")
+    tiles = deal_tiles(members, components(stars), block, shingles)
+    links = stars.unionByName(linked_tiles(with_texts(tiles, texts), size, percent))
     joined = components(links)
     reps = classes.select("set_key", "rep").join(joined.withColumnsRenamed({"node": "rep"}), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class_id"))
     out = drawn.join(reps, "set_key", "left")
@@ -222,32 +243,51 @@ def _merge_ids(rows: DataFrame) -> DataFrame:
     return joined.select("id", "n_shingles", F.coalesce("__to", "component_id").alias("component_id"))
 
 
-def confirm_large(large: DataFrame, size: int, percent: int, block: int) -> DataFrame:
-    """Links inside clusters of more than ``block`` documents (id, text, component, members)."""
-    spread = lambda n: F.pmod(F.xxhash64("id"), F.ceil(n / block)).cast("int")
-    dealt = large.withColumn("piece", spread(F.col("members"))).select("component", "members", "piece", "id", "text")
-    leader = large.where("id = component").select("component", "members", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("members") / block) - 1).cast("int"))).alias("piece"), "id", "text")
-    first = dealt.where("id <> component").unionByName(leader)
-    inner = stored(confirm(first.select(F.struct("component", "piece").alias("group"), "id", F.lit(0).alias("side"), "text"), size, percent, False), "inner-links")
-    apart = components(inner)
-    named = large.join(apart.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left").withColumn("rest", F.coalesce("part", "id") != F.col("component"))
-    named = named.select("component", "id", "text", F.col("rest").cast("int").alias("rest"))
-    totals = named.groupBy("component").agg(F.sum("rest").alias("n_rest"), F.sum(1 - F.col("rest")).alias("n_main"))
-    named = named.join(totals, "component").where("n_rest > 0")
-    rests, mains = F.ceil(F.col("n_rest") / block).cast("int"), F.ceil(F.col("n_main") / block).cast("int")
-    span = lambda n: F.sequence(F.lit(0), n - 1)
-    named = named.withColumn("own", F.when(F.col("rest") == 1, F.pmod(F.xxhash64("id", F.lit(1)), rests)).otherwise(F.pmod(F.xxhash64("id", F.lit(1)), mains)).cast("int"))
-    # tiles: (i, j) of the rest with i <= j, and (i, main j)
+def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows with the texts of their ids. Neither side is bounded."""
+    return rows.join(texts.hint("merge"), "id")
+
+
+def pieces(rows: Column, shingles: Column, block: int, most: int) -> Column:
+    """In how many pieces so many rows of so many shingles are dealt: ``block`` rows and ``most`` shingles each."""
+    return F.greatest(F.ceil(rows / block), F.ceil(shingles / most), F.lit(1)).cast("int")
+
+
+def deal_stars(members: DataFrame, block: int, most: int) -> DataFrame:
+    """(leader, piece, id, side): each leader (side 0) with its members (side 1), those of many in pieces."""
+    pairs = members.where("rep <> leader").select("leader", F.col("rep").alias("id"), "weight").distinct()
+    sizes = pairs.groupBy("leader").agg(pieces(F.count("*"), F.sum("weight"), block, most).alias("pieces"))
+    dealt = pairs.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("id"), "pieces").cast("int").alias("piece"), "id", F.lit(1).alias("side"))
+    heads = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("leader").alias("id"), F.lit(0).alias("side"))
+    return dealt.unionByName(heads)
+
+
+def deal_tiles(members: DataFrame, parts: DataFrame, block: int, most: int) -> DataFrame:
+    """(bucket, tile, id, side): the pairs of blocks in which buckets with members apart from their leader are compared.
+
+    ``parts`` (node, component) are the components known so far.
+    """
+    of = parts.withColumnsRenamed({"node": "rep", "component": "part"})
+    named = members.join(of, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    own = named.where("rep = leader").select("bucket", F.col("part").alias("main"))
+    named = named.join(own, "bucket").withColumn("rest", (F.col("part") != F.col("main")).cast("int"))
+    weigh = lambda side, what: F.sum(F.when(F.col("rest") == side, what).otherwise(0))
+    key = F.xxhash64("rep")
+    sizes = named.groupBy("bucket").agg(
+        pieces(weigh(1, 1), weigh(1, F.col("weight")), block, most).alias("rests"), pieces(weigh(0, 1), weigh(0, F.col("weight")), block, most).alias("mains"),
+        F.sum("rest").alias("apart"), F.count("*").alias("n"), F.bit_xor(key).alias("x"), F.bit_xor(F.xxhash64(key, F.lit(1))).alias("y"),
+    ).where("apart > 0")
+    # buckets of the same members, as far as 128 bits tell them apart, are one
+    sizes = sizes.groupBy("n", "x", "y").agg(F.min_by(F.struct("bucket", "rests", "mains"), "bucket").alias("b")).select("b.*")
+    named = named.join(sizes, "bucket")
+    place = F.pmod(F.xxhash64("rep", F.lit(1)), F.when(F.col("rest") == 1, F.col("rests")).otherwise(F.col("mains"))).cast("int")
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     tile = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     own = F.col("own")
-    of_rest = F.concat(
-        F.transform(span(rests), lambda j: tile(0, F.least(own, j), F.greatest(own, j))),
-        F.when(F.col("n_main") > 0, F.transform(span(mains), lambda j: tile(1, own, j))).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>")),
-    )
-    of_main = F.transform(span(rests), lambda i: tile(1, i, own))
-    tiles = named.select("component", "id", "text", "rest", "own", F.explode(F.when(F.col("rest") == 1, of_rest).otherwise(of_main)).alias("tile"))
-    side = F.when((F.col("tile.kind") == 0) & (F.col("tile.i") == F.col("tile.j")), F.lit(None)).when(F.col("tile.kind") == 0, F.col("own")).otherwise(-F.col("rest"))
-    tiles = tiles.select(F.struct("component", "tile").alias("group"), "id", side.cast("long").alias("side"), "text")
-    # a tile of one block with itself compares all its pairs: there each side is the id
-    tiles = tiles.withColumn("side", F.coalesce("side", "id"))
-    return inner.unionByName(confirm(tiles, size, percent, True))
+    # blocks i <= j of those apart, and a block apart with one of the others
+    of_rest = F.concat(F.transform(span("rests"), lambda j: tile(0, F.least(own, j), F.greatest(own, j))), F.transform(span("mains"), lambda j: tile(1, own, j)))
+    of_main = F.transform(span("rests"), lambda i: tile(1, i, own))
+    tiles = named.withColumn("own", place).select("bucket", F.col("rep").alias("id"), "rest", "own", F.explode(F.when(F.col("rest") == 1, of_rest).otherwise(of_main)).alias("tile"))
+    # the sides of a tile: its blocks; within one block every row is a side of its own
+    side = F.when(F.col("tile.kind") == 1, -1 - F.col("rest").cast("long")).when(F.col("tile.i") == F.col("tile.j"), F.col("id")).otherwise(-1 - own.cast("long"))
+    return tiles.select("bucket", "tile", "id", side.alias("side"))
