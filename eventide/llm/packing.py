@@ -27,11 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, stored, text_slices, text_source
+from .common import Words, give_back, stored, text_slices, text_source
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 #: Distinct words whose ids a Python worker remembers: twice this at most.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
+#: And how many it keeps between tasks.
+KEPT = 150_000
 #: A word of letters that stay single letters when normalised, and ASCII punctuation behind it that joins
 #: none (no apostrophe). Other words are encoded whole.
 PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-įıĲ-ňŊ-ſА-я]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
@@ -57,6 +59,13 @@ class WordIds:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Let go of the words that were not met lately."""
+        if len(self.new) + len(self.old) > KEPT:
+            self.old = {}
+        if len(self.new) > KEPT:
+            self.new = {}
+
     def find(self, words: list[str], letters: bool) -> list[bytes]:
         new, old = self.new, self.old
         fresh = []
@@ -156,6 +165,9 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: i
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        if tokenizer in _known:  # a worker that waits for other tasks keeps the tokenizer, not the words
+            _known[tokenizer].forget()
+        give_back()
 
     kind = dict(source.dtypes)[id_col]
     return source.mapInArrow(run, f"`{id_col}` {kind}, {PIECE}" + ", ids array<int>" * with_ids)
@@ -278,23 +290,25 @@ class Places:
         return self.base[at] + rank - self.first[at], self.offset[at]
 
 
-def pack(cut: DataFrame, capacity: int = 4096, per_bucket: int = 1000) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 4096, per_bucket: int = 250) -> DataFrame:
     """The rows of ``cut`` (a column ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
     Every row is placed once; sequences are gapless from 0; sequence ids count
-    from 0. Repeated rows are separate pieces. An empty table packs to an empty
-    one. ``cut`` should be cheap to read twice: a stored table.
+    from 0. Repeated rows are separate pieces, numbered when ``cut`` is stored, so that
+    they spread over buckets, too. Rows whose id is null are packed like others; an
+    empty table packs to an empty one. A null length, or one out of range, is an error.
     """
     spark, columns = cut.sparkSession, cut.columns
+    cut = stored(cut.withColumn("__number", F.monotonically_increasing_id()), "pieces")
     counted = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     places = spark.sparkContext.broadcast(Places(plan(counted, capacity)))
     share = max(per_bucket, math.isqrt(sum(counted.values())))
     dealing = spark.createDataFrame([(int(x), int(-(-n // share))) for x, n in counted.items()], "length long, __buckets int")
     rows = cut.join(F.broadcast(dealing), "length")
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*columns), "__buckets")).select(*columns, "__bucket")
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__number"), "__buckets")).select(*columns, "__number", "__bucket")
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("length", "__bucket").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    inner = Window.partitionBy("length", "__bucket").orderBy(*[c for c in columns if c != "length"])
+    inner = Window.partitionBy("length", "__bucket").orderBy("__number")
     ranked = rows.withColumn("__rank", F.row_number().over(inner)).join(offsets.select("length", "__bucket", "__before"), ["length", "__bucket"])
     ranked = ranked.select(*columns, (F.col("__rank") + F.col("__before") - 1).alias("__rank"))
 
@@ -310,6 +324,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 4096, e
     """Tokenise, cut and pack: one row per piece, with its sequence and place.
 
     Texts are tokenised once; the pieces' lengths and digests, not their ids, are
-    stored and shuffled.
+    stored and shuffled. A null or empty text is one piece, the end alone; a text of any
+    length is cut; rows that repeat are packed each.
     """
-    return pack(stored(pieces(documents, tokenizer, capacity, end_id, id_col, text_col), "pieces"), capacity)
+    return pack(pieces(documents, tokenizer, capacity, end_id, id_col, text_col), capacity)
