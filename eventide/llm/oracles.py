@@ -1,10 +1,10 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
 OP6 = """
-with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages where page_id is not null),
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
 f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest)
-select p.page_id, payload_bytes, p.payload_digest, case when f.first < page_id then 'revisit' else 'response' end as record_type,
-       case when f.first < page_id then f.first end as refers_to
+select p.page_id, payload_bytes, p.payload_digest, case when f.first < page_id or (page_id is null and f.first is not null) then 'revisit' else 'response' end as record_type,
+       case when f.first < page_id or page_id is null then f.first end as refers_to
 from p left join f on p.payload_digest = f.payload_digest and p.payload_bytes >= 100
 """
 

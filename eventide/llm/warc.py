@@ -37,7 +37,8 @@ RECORD = "record_id string, type string, concurrent_to string, refers_to string,
 
 def record_id(kind: str, page: Column) -> Column:
     """The record id of a page's capture: the same whenever it is written again."""
-    digest = F.md5(F.concat(F.lit(f"{kind}:"), page.cast("string"), F.lit("/"), F.col("payload_digest")))
+    named = F.coalesce(page.cast("string"), F.concat(F.lit("url:"), F.col("url")), F.lit("none"))
+    digest = F.md5(F.concat(F.lit(f"{kind}:"), named, F.lit("/"), F.col("payload_digest")))
     parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -54,23 +55,25 @@ def captures(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     the smallest page_id is the response and the others refer to it; smaller
     payloads never refer. A null html is an empty payload. Rows that repeat a
     page_id and payload are captures of their own under one record id, all
-    responses or all revisits.
-    Rows with a null page_id are no captures and are left out.
+    responses or all revisits. A page without an id is told by its url; it refers to
+    the page of equal payload with the smallest id, if there is one, and is a response
+    otherwise. An empty table gives an empty one.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html")).where("page_id is not null")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2(F.col("html").cast("binary"), 256))
     # sums and minima are combined before the shuffle; only repeated digests are kept
-    first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("payload_digest", "first")
+    first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("first is not null and n > 1").select("payload_digest", "first")
     # the pages of one payload move to the page that is its response through a join that splits large keys
     joined = rows.join(stored(first, "repeated"), "payload_digest", "left")
-    refers = F.when((F.col("first") < F.col("page_id")) & (F.col("payload_bytes") >= least_bytes), F.col("first"))
+    later = F.col("page_id").isNull() | (F.col("first") < F.col("page_id"))
+    refers = F.when(later & (F.col("payload_bytes") >= least_bytes), F.col("first"))
     return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
 
 def records(found: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """The WARC records of captures, a row of text each, without their closing blank line."""
     named = found.withColumn("id", record_id("response", F.col("page_id")))
-    uri = F.coalesce(header_safe(F.col("url")), F.concat(F.lit("urn:page:"), F.col("page_id").cast("string")))
+    uri = F.coalesce(header_safe(F.col("url")), F.concat(F.lit("urn:page:"), F.col("page_id").cast("string")), F.lit("urn:none"))
     named = named.withColumn("uri", F.when(uri == "", F.lit("urn:empty")).otherwise(uri))
 
     def record(kind: str, own: Column, extra: list[Column], content: str, block: Column) -> Column:
@@ -84,7 +87,7 @@ def records(found: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     full = record("response", F.col("id"), [digest], "application/http; msgtype=response", F.concat(http, F.col("html")))
     back = [digest, F.concat(F.lit("WARC-Refers-To: "), record_id("response", F.col("refers_to"))), F.lit(f"WARC-Profile: {PROFILE}")]
     again = record("revisit", F.col("id"), back, "application/http; msgtype=response", http)
-    about = record("metadata", record_id("metadata", F.col("page_id")), [near], "application/warc-fields", F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")))
+    about = record("metadata", record_id("metadata", F.col("page_id")), [near], "application/warc-fields", F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")))
     answer = F.when(F.col("refers_to").isNull(), full).otherwise(again)
     return named.select(F.explode(F.array(asked, answer, about)).alias("value"))
 
