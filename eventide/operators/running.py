@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from eventide.operators.monoid import Monoid
 from eventide.schema import SEQ, TS
@@ -73,18 +75,19 @@ def _running_split(df: DataFrame, keys: list[str], folds: dict[str, tuple[Monoid
 def running_python(df: DataFrame, keys: list[str], value: str, step: Callable, zero, name: str, result_type: str, order: list[str] | None = None) -> DataFrame:
     """A running fold by a Python function, linear in a key's events; the key's events must fit in a task."""
     columns = [TS, *(order or []), SEQ]
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {result_type}").fields])
+    kind = to_arrow_type(schema[name].dataType)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(columns, kind="stable")
+    def fold(group: pa.Table) -> pa.Table:
+        # Arrow keeps every column as it is: pandas makes floats of whole numbers with nulls
+        group = group.sort_by([(c, "ascending") for c in columns])
         state, out = zero, []
-        for v in group[value].astype(object).where(group[value].notna(), None):
+        for v in group[value].to_pylist():
             state = step(state, v)
             out.append(state)
-        group[name] = pd.Series(out, index=group.index, dtype=object)
-        return group
+        return group.append_column(name, pa.array(out, kind))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(*keys).applyInPandas(fold, f"{kinds}, `{name}` {result_type}")
+    return df.groupBy(*keys).applyInArrow(fold, schema)
 
 
 def final(df: DataFrame, keys: list[str], folds: dict[str, tuple[Monoid, Column]]) -> DataFrame:

@@ -47,15 +47,16 @@ def trailing_distinct(df: DataFrame, keys: list[str], window: TrailingWindow, va
     return trailing(df, keys, window, {}).withColumn(name, F.size(F.collect_set(value).over(Window.partitionBy(*keys).orderBy(TS).rangeBetween(-window.size, 0))))
 
 
-def trailing_in_arrival(df: DataFrame, keys: list[str], window: TrailingWindow, sums: dict[str, tuple[str, Column]]) -> DataFrame:
+def trailing_in_arrival(df: DataFrame, keys: list[str], window: TrailingWindow, sums: dict[str, tuple[str, Column]], order: list[str | Column] | None = None) -> DataFrame:
     """Sums and counts over the window in which later arrivals of the same time are not yet visible.
 
     The frame has a RANGE start and a ROWS end, which Spark lacks; sums and counts
     can be undone, so the later arrivals' part is taken off the RANGE frame's value.
-    ``sums`` maps a name to ("sum" or "count", value).
+    ``sums`` maps a name to ("sum" or "count", value). ``order`` goes before arrival
+    among events of one time.
     """
     frame = Window.partitionBy(*keys).orderBy(TS).rangeBetween(-_checked(window).size, 0)
-    later = Window.partitionBy(*keys, TS).orderBy(SEQ).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys, TS).orderBy(*(order or []), SEQ).rowsBetween(1, Window.unboundedFollowing)
     made = {}
     for name, (kind, value) in sums.items():
         if kind not in ("sum", "count"):
@@ -71,8 +72,8 @@ def trailing_in_arrival(df: DataFrame, keys: list[str], window: TrailingWindow,
 def trailing_python(df: DataFrame, keys: list[str], window: TrailingWindow, value: str, function: Callable[[pd.Series], Any], name: str, result_type: str) -> DataFrame:
     """A Python aggregate of the window's values (a pandas Series), through Arrow; equal times see each other.
 
-    For aggregates that no Column can say. Only the frame's rows reach Python, so a
-    key may be larger than memory as long as a window is not.
+    For aggregates that no Column can say. Spark sends a key's whole partition to
+    Python, with each frame's bounds, so a key's events must fit in a worker's memory.
     """
 
     def call(values: pd.Series) -> Any:
@@ -83,15 +84,18 @@ def trailing_python(df: DataFrame, keys: list[str], window: TrailingWindow, valu
     return df.withColumn(name, F.pandas_udf(call, result_type)(value).over(frame))
 
 
-def trailing_fold(df: DataFrame, keys: list[str], window: TrailingWindow, value: Column, body: Callable[[Column], Column], name: str) -> DataFrame:
-    """Any function of the list of values visible at each event, in arrival order.
+def trailing_fold(df: DataFrame, keys: list[str], window: TrailingWindow, value: Column, body: Callable[[Column], Column], name: str, order: list[str] | None = None) -> DataFrame:
+    """Any function of the list of values visible at each event, in the order of time, then ``order``, then arrival.
 
     ``body`` gets an array of structs (ts, v) from the oldest to the present event.
-    The array holds the key's events so far before it is cut, so a key's events
-    must fit in a task's memory. A null result drops the event.
+    The array holds the window's events and those of the same time, no more of the key.
+    A null result drops the event.
     """
-    so_far = Window.partitionBy(*keys).orderBy(TS, SEQ).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.collect_list(F.struct(F.col(TS).alias("ts"), value.alias("v"))).over(so_far)
-    listed = df.withColumn("__seen", seen)
-    low = F.col(TS) - _checked(window).size
-    return listed.withColumn(name, body(F.filter(F.col("__seen"), lambda x: x["ts"] >= low))).drop("__seen").where(F.col(name).isNotNull())
+    frame = Window.partitionBy(*keys).orderBy(TS).rangeBetween(-_checked(window).size, 0)
+    place = F.struct(F.col(TS).alias("ts"), *[F.col(c).alias(f"o{i}") for i, c in enumerate([*(order or []), SEQ])])
+    listed = df.withColumn("__at", place).withColumn("__v", value)
+    listed = listed.withColumn("__seen", F.collect_list(F.struct(F.col("__at").alias("at"), F.col("__v").alias("v"))).over(frame))
+    # places are distinct within a key, so values are never compared
+    by_place = F.array_sort("__seen", lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
+    seen = F.transform(F.filter(by_place, lambda x: x["at"] <= F.col("__at")), lambda x: F.struct(x["at"]["ts"].alias("ts"), x["v"].alias("v")))
+    return listed.withColumn(name, body(seen)).drop("__seen", "__at", "__v").where(F.col(name).isNotNull())

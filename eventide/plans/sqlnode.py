@@ -23,9 +23,9 @@ def outside_quotes(query: str, pattern: str, replacement) -> str:
 
 
 def rewrite(query: str, approximate_distinct: bool = False) -> str:
-    """The query in Spark's dialect, with the event time as its first column.
+    """The query in Spark's dialect, with the event time and order as its first columns.
 
-    * ``ts__`` is put after SELECT;
+    * ``ts__`` and ``seq__`` are put after SELECT (a query that groups has no ``seq__``: 0);
     * interval precisions such as DAY(3), which Spark does not parse, are dropped;
     * ``count(distinct c) over (...)``, which Spark rejects, becomes the size of a
       set, or ``approx_count_distinct`` if asked for;
@@ -36,7 +36,8 @@ def rewrite(query: str, approximate_distinct: bool = False) -> str:
         raise ValueError("a stream query must begin with SELECT")
     if re.match(r"select\s+distinct\s", text, re.IGNORECASE):
         raise ValueError("SELECT DISTINCT has no single event time for a row")
-    text = re.sub(r"^select\s", f"SELECT {TS}, ", text, count=1, flags=re.IGNORECASE)
+    order = f"0 AS {SEQ}" if re.search(r"\bgroup\s+by\b", text, re.IGNORECASE) else SEQ
+    text = re.sub(r"^select\s", f"SELECT {TS}, {order}, ", text, count=1, flags=re.IGNORECASE)
     text = outside_quotes(text, r"\b(year|month|day|hour|minute|second)\s*\(\s*\d+\s*\)", r"\1") if re.search(r"interval", text, re.IGNORECASE) else text
     text = outside_quotes(text, r"\bASStddev\s*\(", "stddev_samp(")
     return _distinct_windows(text, approximate_distinct)
@@ -82,7 +83,8 @@ def run_sql(df: DataFrame, query: str, table: str, schema: str | StructType | No
     The table has the payload columns, ``ts__`` (epoch ms) and ``row_time__`` (the
     same as a timestamp, to the millisecond). Result columns are bound to ``schema``
     by position. A query that puts rows together (GROUP BY) is rejected unless it
-    gives ts__ itself. The view's name is private, so streams cannot clash.
+    gives ts__ itself. The table is a common table expression over a private view, so
+    streams cannot clash, and columns may have the table's name.
     """
     spark = df.sparkSession
     register(spark)
@@ -92,19 +94,19 @@ def run_sql(df: DataFrame, query: str, table: str, schema: str | StructType | No
         raise ValueError(f"the query does not read {table}")
     df.withColumn(ROW_TIME, F.timestamp_millis(F.col(TS))).createOrReplaceTempView(view)
     try:
-        out = spark.sql(outside_quotes(text, rf"\b{re.escape(table)}\b", view))
+        out = spark.sql(f"WITH `{table}` AS (SELECT * FROM {view}) {text}")
     except AnalysisException as fault:
         if re.search(r"\bgroup\s+by\b", text, re.IGNORECASE):
             raise ValueError("GROUP BY gives no event time for its rows; aggregate OVER a window instead") from fault
         raise
     finally:
         spark.catalog.dropTempView(view)
-    values = out.columns[1:]
+    values = out.columns[2:]
     if schema is not None:
         kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
         if len(kind) != len(values):
             raise ValueError(f"the query has {len(values)} columns, the schema {len(kind)}")
-        out = out.toDF(TS, *[f.name for f in kind]).select(TS, *[F.col(f.name).cast(f.dataType) for f in kind])
+        out = out.toDF(TS, SEQ, *[f.name for f in kind]).select(TS, SEQ, *[F.col(f.name).cast(f.dataType) for f in kind])
     elif len(set(values)) < len(values):
         raise ValueError("column names repeat: name them or give a schema")
-    return out.select(TS, F.lit(0).alias(SEQ), *out.columns[1:])
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,22 @@ from eventide.operators.windows import TrailingWindow
 from eventide.schema import SEQ, TS, interval, payload
 
 
+#: A session setting: the folder below which every operator's rows are dumped as JSON when it is built (batch only).
+DEBUG_DIR = "eventide.debug.dir"
+_steps = itertools.count()
+
+
+def dumped(df: DataFrame) -> DataFrame:
+    """``df``, its rows dumped under the name of the operator that made it if DEBUG_DIR is set."""
+    folder = df.sparkSession.conf.get(DEBUG_DIR, None)
+    if folder and not df.isStreaming:
+        frame = sys._getframe(2)
+        while frame.f_code.co_name in ("_with", "__init__"):
+            frame = frame.f_back
+        df.write.json(f"{folder.rstrip('/')}/{next(_steps):05d}-{frame.f_code.co_name}")
+    return df
+
+
 class EventStream:
     """Events: a DataFrame with ``ts__`` (epoch ms), ``seq__`` (order among equal times) and payload columns.
 
@@ -25,7 +43,7 @@ class EventStream:
         for name in (TS, SEQ):
             if name not in df.columns:
                 raise ValueError(f"an event stream needs the column {name}")
-        self.df = df
+        self.df = dumped(df)
 
     @property
     def columns(self) -> list[str]:
@@ -82,7 +100,7 @@ class KeyedStream:
     """A stream whose events belong to keys; operators work within a key, in event order."""
 
     def __init__(self, df: DataFrame, keys: list[str], values: list[str] | None = None):
-        self.df, self.keys = df, keys
+        self.df, self.keys = dumped(df), keys
         self.value_columns = values if values is not None else [c for c in payload(df) if c not in keys]
 
     def _with(self, df: DataFrame, values: list[str]) -> KeyedStream:
@@ -144,17 +162,17 @@ class KeyedStream:
         """Aggregates over the trailing window; events of equal time see each other."""
         return self._with(windows.trailing(self.df, self.keys, window, aggregates), [*self.value_columns, *aggregates])
 
-    def window_in_arrival(self, window: TrailingWindow, **sums: tuple[str, Column]) -> KeyedStream:
+    def window_in_arrival(self, window: TrailingWindow, order: list[str | Column] | None = None, **sums: tuple[str, Column]) -> KeyedStream:
         """Sums and counts over the trailing window; later arrivals of equal time are not yet seen."""
-        return self._with(windows.trailing_in_arrival(self.df, self.keys, window, sums), [*self.value_columns, *sums])
+        return self._with(windows.trailing_in_arrival(self.df, self.keys, window, sums, order), [*self.value_columns, *sums])
 
     def window_python(self, window: TrailingWindow, value: str, function: Callable, name: str, result_type: str) -> KeyedStream:
         """A Python aggregate over the trailing window; see ``operators.windows.trailing_python``."""
         return self._with(windows.trailing_python(self.df, self.keys, window, value, function, name, result_type), [*self.value_columns, name])
 
-    def window_fold(self, window: TrailingWindow, value: Column, body: Callable[[Column], Column], name: str) -> KeyedStream:
+    def window_fold(self, window: TrailingWindow, value: Column, body: Callable[[Column], Column], name: str, order: list[str] | None = None) -> KeyedStream:
         """Any function of the values seen at each event; see ``operators.windows.trailing_fold``."""
-        return self._with(windows.trailing_fold(self.df, self.keys, window, value, body, name), [*self.value_columns, name])
+        return self._with(windows.trailing_fold(self.df, self.keys, window, value, body, name, order), [*self.value_columns, name])
 
     def window_distinct(self, window: TrailingWindow, value: Column, name: str) -> KeyedStream:
         return self._with(windows.trailing_distinct(self.df, self.keys, window, value, name), [*self.value_columns, name])

@@ -22,21 +22,32 @@ from eventide.schema import SEQ, TS
 from eventide.streaming.watermark import with_lateness
 
 
+#: How long a debounced join remembers a key after its last pair.
+DAY_MS = 86_400_000
+
+
 def _ddl(df: DataFrame, columns: list[str]) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
 
 
 def _integers(df: DataFrame) -> list[str]:
-    """Columns of whole numbers: pandas turns those with nulls into floats."""
+    """Columns of whole numbers: pandas turns those with nulls into floats, which lose digits."""
     return [c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint")]
 
 
+def _carried(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with whole numbers as strings, to be read again by ``_rows``; keys, by which rows are grouped, as they are."""
+    return df.withColumns({f"key__{k}": F.col(k) for k in keys} | {c: F.col(c).cast("string") for c in _integers(df)}).groupBy(*[f"key__{k}" for k in keys])
+
+
 def _rows(batches: Iterator[pd.DataFrame], order: list[str], integers: list[str]) -> list[dict[str, Any]]:
     frames = [b for b in batches if len(b)]
     if not frames:
         return []
     rows = pd.concat(frames, ignore_index=True)
+    for c in order:  # never null
+        rows[c] = rows[c].astype("int64")
     rows = rows.sort_values(order, kind="stable")
     found = rows.astype(object).where(rows.notna(), None).to_dict("records")
     for row in found:
@@ -80,7 +91,7 @@ def running_stream(df: DataFrame, keys: list[str], value: str, monoid: Monoid, n
     if monoid.step is None:
         raise ValueError(f"{monoid.name} has no Python step")
     out = f"{_ddl(df, df.columns)}, `{name}` {result_type}"
-    return df.groupBy(*keys).transformWithStateInPandas(_RunningFold(monoid.step, zero, value, name, df.columns, result_type, _integers(df), ttl_ms), out, "append", "processingTime" if ttl_ms else "None")
+    return _carried(df, keys).transformWithStateInPandas(_RunningFold(monoid.step, zero, value, name, df.columns, result_type, _integers(df), ttl_ms), out, "append", "processingTime" if ttl_ms else "None")
 
 
 class _LatestJoin(StatefulProcessor):
@@ -129,18 +140,19 @@ def latest_left_stream(left: DataFrame, right: DataFrame, keys: list[str], left_
     both = _both(left, right, keys, left_values, right_values, [])
     state = ", ".join(f"`{c}` {dict(right.dtypes)[c]}" for c in right_values)
     columns = [TS, SEQ, *keys, *[f"l_{c}" for c in left_values], *[f"r_{c}" for c in right_values]]
-    return both.groupBy(*keys).transformWithStateInPandas(_LatestJoin(keys, left_values, right_values, state, _integers(both), ttl_ms), _ddl(both, columns), "append", "processingTime" if ttl_ms else "None")
+    return _carried(both, keys).transformWithStateInPandas(_LatestJoin(keys, left_values, right_values, state, _integers(both), ttl_ms), _ddl(both, columns), "append", "processingTime" if ttl_ms else "None")
 
 
 class _DebouncedJoin(StatefulProcessor):
-    def __init__(self, keys: list[str], left: list[str], right: list[str], state: str, latency: int, integers: list[str]):
-        self.integers = integers
+    def __init__(self, keys: list[str], left: list[str], right: list[str], state: str, latency: int, ttl: int, integers: list[str]):
+        self.integers, self.ttl = integers, ttl
         self.keys, self.left, self.right, self.kind, self.latency = keys, left, right, state, latency
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("pair", self.kind)
         self.timer = handle.getValueState("timer", "at bigint")
+        self.expiry = handle.getValueState("expiry", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         names = [*[f"l_{c}" for c in self.left], *[f"r_{c}" for c in self.right]]
@@ -159,6 +171,9 @@ class _DebouncedJoin(StatefulProcessor):
             at = ts + self.latency + 1
         if self.timer.exists():
             self.handle.deleteTimer(self.timer.get()[0])
+        if self.expiry.exists():
+            self.handle.deleteTimer(self.expiry.get()[0])
+            self.expiry.clear()
         if at is not None:
             self.handle.registerTimer(at)
             self.timer.update((at,))
@@ -169,7 +184,14 @@ class _DebouncedJoin(StatefulProcessor):
         names = [*[f"l_{c}" for c in self.left], *[f"r_{c}" for c in self.right]]
         now = list(self.state.get()) if self.state.exists() else [None] * len(names)
         at, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        if not self.timer.exists() or self.timer.get()[0] != at:  # nothing came after the pair was given
+            self.state.clear()
+            self.expiry.clear()
+            yield _frame(out, [TS, SEQ, *self.keys, *names])
+            return
         self.timer.clear()
+        self.handle.registerTimer(at + self.ttl)
+        self.expiry.update((at + self.ttl,))
         if any(x is not None for x in now[: len(self.left)]):
             out.append({TS: at, SEQ: 0} | dict(zip(self.keys, key)) | dict(zip(names, now)))
         yield _frame(out, [TS, SEQ, *self.keys, *names])
@@ -178,26 +200,27 @@ class _DebouncedJoin(StatefulProcessor):
         pass
 
 
-def debounced_left_stream(left: DataFrame, right: DataFrame, keys: list[str], left_values: list[str], right_values: list[str], latency_ms: int, delay: str = "0 seconds") -> DataFrame:
+def debounced_left_stream(left: DataFrame, right: DataFrame, keys: list[str], left_values: list[str], right_values: list[str], latency_ms: int, delay: str = "0 seconds", ttl_ms: int = DAY_MS) -> DataFrame:
     """The latest pair of each key once event time has passed its last event by ``latency_ms``.
 
     Emission is at timer time, ts + latency + 1. Timers fire as the watermark
-    passes them, so a finite input needs a later event to flush its last ones.
+    passes them, so a finite input needs a later event to flush its last ones. A key of
+    which nothing comes for ``ttl_ms`` after that, by event time, is forgotten.
     """
     both = with_lateness(_both(left, right, keys, left_values, right_values, []), delay)
     names = [*[f"l_{c}" for c in left_values], *[f"r_{c}" for c in right_values]]
     state = _ddl(both, names)
     columns = [TS, SEQ, *keys, *names]
-    return both.groupBy(*keys).transformWithStateInPandas(_DebouncedJoin(keys, left_values, right_values, state, latency_ms, _integers(both)), _ddl(both, columns), "append", "eventTime")
+    return _carried(both, keys).transformWithStateInPandas(_DebouncedJoin(keys, left_values, right_values, state, latency_ms, ttl_ms, _integers(both)), _ddl(both, columns), "append", "eventTime")
 
 
 class _Trailing(StatefulProcessor):
-    def __init__(self, window: TrailingWindow, value: str, body: Callable, name: str, columns: list[str], state: str, integers: list[str]):
-        self.integers = integers
+    def __init__(self, window: TrailingWindow, value: str, body: Callable, name: str, columns: list[str], state: str, integers: list[str], ttl_ms: int | None = None):
+        self.integers, self.ttl = integers, ttl_ms
         self.window, self.value, self.body, self.name, self.columns, self.kind = window, value, body, name, columns, state
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getListState("kept", f"ts bigint, v {self.kind}")
+        self.state = handle.getListState("kept", f"ts bigint, v {self.kind}", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kept = [(int(t), v) for t, v in self.state.get()] if self.state.exists() else []
@@ -220,13 +243,15 @@ class _Trailing(StatefulProcessor):
         pass
 
 
-def trailing_stream(df: DataFrame, keys: list[str], window: TrailingWindow, value: str, body: Callable[[list], Any], name: str, result_type: str) -> DataFrame:
+def trailing_stream(df: DataFrame, keys: list[str], window: TrailingWindow, value: str, body: Callable[[list], Any], name: str, result_type: str, ttl_ms: int | None = None) -> DataFrame:
     """``body`` of the values in [ts - size, ts] seen so far, for each event, in the order of arrival.
 
     A late event gives its own result over what is kept (size + 14 slides behind
-    the newest event) and changes no earlier one. A None result drops the event.
+    the newest event) and changes no earlier one. A None result drops the event. With
+    ``ttl_ms`` what is kept of an event is forgotten so long after its arrival, by
+    processing time, so a key not seen again leaves no state.
     """
     kind = dict(df.dtypes)[value]
-    return df.groupBy(*keys).transformWithStateInPandas(_Trailing(window, value, body, name, df.columns, kind, _integers(df)), f"{_ddl(df, df.columns)}, `{name}` {result_type}", "append", "None")
+    return _carried(df, keys).transformWithStateInPandas(_Trailing(window, value, body, name, df.columns, kind, _integers(df), ttl_ms), f"{_ddl(df, df.columns)}, `{name}` {result_type}", "append", "processingTime" if ttl_ms else "None")
 
 

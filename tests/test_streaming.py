@@ -95,3 +95,70 @@ def test_two_phase_watermark(spark, tmp_path):
     live.processAllAvailable()
     live.stop()
     assert os.path.isdir(tmp_path / "out")
+
+
+BIG = 2**53 + 1
+
+
+def test_whole_numbers_stay_whole(spark, tmp_path):
+    """Ids above 2 ** 53, with nulls beside them, through every stateful operator."""
+    left, right = "ts__ bigint, seq__ int, k bigint, v bigint", "ts__ bigint, seq__ int, k bigint, w bigint"
+    ends = [(t, 9, 0, 0) for t in (10_000, 20_000)]
+    a = feed(spark, tmp_path / "l", left, [[(100, 0, BIG, BIG + 2), (110, 1, BIG, None)], ends[:1], ends[1:]])
+    b = feed(spark, tmp_path / "r", right, [[(90, 0, BIG, BIG + 4)], ends[:1], ends[1:]])
+    found = run(latest_left_stream(a, b, ["k"], ["v"], ["w"]), "big_latest")
+    assert [r[2:] for r in found if r[2]] == [(BIG, BIG + 2, BIG + 4)]
+    found = run(debounced_left_stream(a, b, ["k"], ["v"], ["w"], 1000), "big_debounced")
+    assert [r[2:] for r in found if r[2]] == [(BIG, BIG + 2, BIG + 4)]
+    found = run(running_stream(a, ["k"], "v", MAX, "top", "bigint"), "big_folds")
+    assert sorted(r[1:] for r in found if r[2]) == [(0, BIG, BIG + 2, BIG + 2), (1, BIG, None, BIG + 2)]
+    found = run(trailing_stream(a, ["k"], TrailingWindow(50), "v", lambda seen: max(x for x in seen if x is not None), "top", "bigint", ttl_ms=3_600_000), "big_windows")
+    assert sorted(r[1:] for r in found if r[2]) == [(0, BIG, BIG + 2, BIG + 2), (1, BIG, None, BIG + 2)]
+
+
+def test_debounced_join_forgets_idle_keys(spark, tmp_path):
+    """A right value older than the time to live after the last pair is not joined again."""
+    flush = lambda t: (t, 9, "flush", 0)
+    batches = [[(100, 0, "a", 1)], [flush(5_000)], [flush(9_000)], [flush(90_000)], [flush(95_000)], [(96_000, 1, "a", 2)], [flush(200_000)], [flush(210_000)]]
+    right = [[(90, 0, "a", "old")], *[[(b[0][0], 9, "flush", "x")] for b in batches[1:]]]
+    for ttl, wanted in ((10_000, {(1, "old"), (2, None)}), (10**9, {(1, "old"), (2, "old")})):
+        a, b = feed(spark, tmp_path / f"l{ttl}", LEFT, batches), feed(spark, tmp_path / f"r{ttl}", RIGHT, right)
+        found = run(debounced_left_stream(a, b, ["k"], ["v"], ["w"], 1000, ttl_ms=ttl), f"idle{ttl}")
+        assert {r[3:] for r in found if r[2] == "a"} == wanted
+
+
+def test_a_query_goes_on_where_it_stopped(spark, tmp_path):
+    """Restarted from its checkpoint, a fold gives each event once, with the state of before."""
+    out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
+    for batch in ([[(0, 0, "a", 1), (1, 1, "b", 5)]], [[(2, 2, "a", 10)], [(3, 3, "a", 100)]]):
+        source = feed(spark, tmp_path / "in", LEFT, batch)
+        query = running_stream(source, ["k"], "v", SUM, "t", "int").writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    assert sorted((r["seq__"], r["t"]) for r in spark.read.parquet(out).collect()) == [(0, 1), (1, 5), (2, 11), (3, 111)]
+
+
+def test_socket(spark):
+    import socket
+    import threading
+
+    from eventide.sources import TextSource
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        to, _ = server.accept()
+        to.sendall(b"1 one\n2 two\n")
+        time.sleep(20)
+        to.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    lines = TextSource("", ts=F.split("value", " ")[0].cast("bigint"), socket=("127.0.0.1", server.getsockname()[1])).stream(spark)
+    query = lines.df.writeStream.format("memory").queryName("lines").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and spark.table("lines").count() < 2:
+            query.processAllAvailable()
+        assert sorted(tuple(r) for r in spark.table("lines").collect()) == [(1, 0, "1 one"), (2, 0, "2 two")]
+    finally:
+        query.stop()
+        server.close()
