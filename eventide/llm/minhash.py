@@ -9,9 +9,10 @@ independent. A permutation's minimum and maximum lean against each other in smal
 sets: at the threshold the probability is 4e-7 at most (unions of 7 to 20 shingles).
 
 1. Documents with equal sets are one class, represented by the smallest id.
-2. Of the representatives that share a band, all are confirmed against the smallest
-   id, their leader: one pass over each member's set for each leader that it has.
-   Most bands hold copies and end here.
+2. Of the representatives that share a band the smallest id is the leader. Each
+   representative is confirmed against the leader with which it shares most bands;
+   then against those others from which it is still apart. That is one pass over its
+   set for each such leader. Most bands hold copies and end here.
 3. In the bands where a member is still apart from its leader, those members are
    confirmed against each other and against the rest of the band, tile by tile: two
    blocks of bounded bytes to a task, intersection sizes of all their sets from one
@@ -220,9 +221,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("bucket", "leader")
     members = stored(buckets.join(leaders, "bucket").select("bucket", "rep", "weight", "leader"), "members")
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    stars = stored(linked_stars(with_texts(deal_stars(members, block, shingles), texts), size, percent), "star-links")
-    tiles = deal_tiles(members, components(stars), block, shingles)
-    links = stars.unionByName(linked_tiles(with_texts(tiles, texts), size, percent))
+    pairs = stored(members.where("rep <> leader").groupBy("leader", F.col("rep").alias("id"), "weight").agg(F.count("*").alias("bands")), "pairs")
+    nearest = pairs.groupBy("id").agg(F.max_by(F.struct("leader", "weight"), F.struct("bands", -F.col("leader"))).alias("p")).select("p.leader", "id", "p.weight")
+    links = stored(linked_stars(with_texts(deal_stars(nearest, block, shingles), texts), size, percent), "star-links")
+    others = still_apart(pairs, components(links)).join(nearest, ["leader", "id"], "left_anti")
+    links = links.unionByName(stored(linked_stars(with_texts(deal_stars(others, block, shingles), texts), size, percent), "star-links"))
+    tiles = deal_tiles(members, components(links), block, shingles)
+    links = stored(links.unionByName(linked_tiles(with_texts(tiles, texts), size, percent)), "links")
     joined = components(links)
     reps = classes.select("set_key", "rep").join(joined.withColumnsRenamed({"node": "rep"}), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class_id"))
     out = drawn.join(reps, "set_key", "left")
@@ -253,9 +258,15 @@ def pieces(rows: Column, shingles: Column, block: int, most: int) -> Column:
     return F.greatest(F.ceil(rows / block), F.ceil(shingles / most), F.lit(1)).cast("int")
 
 
-def deal_stars(members: DataFrame, block: int, most: int) -> DataFrame:
-    """(leader, piece, id, side): each leader (side 0) with its members (side 1), those of many in pieces."""
-    pairs = members.where("rep <> leader").select("leader", F.col("rep").alias("id"), "weight").distinct()
+def still_apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (leader, id, weight) that ``parts`` (node, component) does not connect."""
+    one, two = (parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")) for c in ("leader", "id"))
+    named = pairs.join(one, "leader", "left").join(two, "id", "left")
+    return named.where(F.coalesce("leader_part", "leader") != F.coalesce("id_part", "id")).select("leader", "id", "weight")
+
+
+def deal_stars(pairs: DataFrame, block: int, most: int) -> DataFrame:
+    """(leader, piece, id, side) of pairs (leader, id, weight): each leader (side 0) with its ids (side 1), those of many in pieces."""
     sizes = pairs.groupBy("leader").agg(pieces(F.count("*"), F.sum("weight"), block, most).alias("pieces"))
     dealt = pairs.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("id"), "pieces").cast("int").alias("piece"), "id", F.lit(1).alias("side"))
     heads = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("leader").alias("id"), F.lit(0).alias("side"))

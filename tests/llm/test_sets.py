@@ -98,8 +98,8 @@ def test_groups_larger_than_a_block(spark, edits):
 def test_loose_chains(spark, percent):
     """Each text shares most of itself with the next one only; bands hold neighbours, linked or not."""
     words = [f"w{i}" for i in range(700)]
-    chain = [(n * 2 + 1, " ".join(words[n * 6 : n * 6 + 60])) for n in range(100)]
-    check_duplicates(spark, chain, 3, percent, block=8, shingles=400)
+    chain = [(n * 2 + 1, " ".join(words[n * 6 : n * 6 + 60])) for n in range(30)]
+    check_duplicates(spark, chain, 3, percent, block=8, shingles=4000)
 
 
 def test_chains_of_weakly_alike_documents_stay_linear(spark):
@@ -114,7 +114,8 @@ def test_chains_of_weakly_alike_documents_stay_linear(spark):
         leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("bucket", "leader")
         members = buckets.join(leaders, "bucket").select("bucket", "rep", "weight", "leader").persist()
         none = spark.createDataFrame([], "node long, component long")
-        compared.append(minhash.deal_stars(members, 384, 1 << 18).count() + minhash.deal_tiles(members, none, 384, 1 << 18).count())
+        pairs = members.where("rep <> leader").select("leader", F.col("rep").alias("id"), "weight").distinct()
+        compared.append(minhash.deal_stars(pairs, 384, 1 << 18).count() + minhash.deal_tiles(members, none, 384, 1 << 18).count())
         members.unpersist()
     assert compared[0] > 500 and compared[1] < 5 * compared[0]
 
