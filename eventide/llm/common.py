@@ -7,6 +7,7 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -72,10 +73,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def drop_shuffles(df: DataFrame) -> None:
     """Let Spark's cleaner remove shuffle files of queries that are over, once their results are stored.
 
-    The cleaner goes by the driver's garbage collector, which may not run for half an hour.
+    The cleaner goes by the driver's garbage collector, which may not run for half an
+    hour, and sees what listeners have let go of: they get a moment.
     """
     gc.collect()
+    time.sleep(1)
     df.sparkSession.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -339,7 +339,7 @@ def ask_histories(grams: Grams, chunk: int, plan: Plan, n: int) -> list[dict]:
     return spread("h", n, chunk, below.hashes[chosen], plan, n - 1, columns)
 
 
-def answer_counts(rows: list[dict]) -> list[dict]:
+def answer_counts(rows: list[dict], plan: Plan) -> list[dict]:
     keys = [from_steps(r["keys"]) for r in rows]
     known, code, one = numbered(np.concatenate(keys))
     counts = np.bincount(code, np.concatenate([unpacked(r["a"], "<u4") for r in rows]), len(known)).astype(np.int64)
@@ -350,8 +350,8 @@ def answer_counts(rows: list[dict]) -> list[dict]:
         out.append({k: r[k] for k in ("kind", "level", "part", "chunk")} | {"x": packed(reply[at : at + len(own)], "<u8")})
         at += len(own)
     of = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2]
-    there = counts > 0
-    table = {"x": steps(known[there]), "y": packed(counts[there], "<u8"), "sums": [*of.tolist(), int(counts.sum()), int(there.sum())]}
+    there = counts >= plan.least[rows[0]["level"] - 1]
+    table = {"x": steps(known[there]), "y": packed(counts[there], "<u8"), "sums": [*of.tolist(), int(counts.sum()), int((counts > 0).sum())]}
     return [*out, {k: rows[0][k] for k in ("kind", "level", "part")} | table]
 
 
@@ -381,7 +381,7 @@ def answer_histories(rows: list[dict], plan: Plan) -> list[dict]:
 def answers(asked: DataFrame, plan: Plan) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        found = answer_counts(rows) if rows[0]["kind"] == "c" else answer_histories(rows, plan)
+        found = answer_counts(rows, plan) if rows[0]["kind"] == "c" else answer_histories(rows, plan)
         out = pa.Table.from_pylist(found, ANSWER_SCHEMA)
         del found, rows
         give_back()
@@ -519,12 +519,12 @@ def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     for n in range(2, order + 2):
         found = stored(answers(asked, plan), "katz")
         asked = pair = None  # no longer needed, nor are their shuffle files
-        drop_shuffles(found)
         # the sums of the partitions' tables, added up before they reach the driver: a row for each order
         told = found.where("chunk is null and kind = 'c'").groupBy("level").agg(*[F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(K + 3)]).collect()
         told = {r["level"]: np.array([r[f"s{k}"] for k in range(K + 3)], np.int64) for r in told}
         for k in (1, 2) if n == 2 else (n,) if n <= order else ():
             plan.learn(k, told.get(k, np.zeros(K + 3, np.int64)))
+        drop_shuffles(found)
         new = found.where("chunk is not null")
         replies = new if replies is None else replies.unionByName(new)
         pair = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk"))
