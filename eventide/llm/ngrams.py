@@ -48,7 +48,7 @@ from .common import Words, drop_shuffles, give_back, mix, stored, text_slices, t
 #: Counts up to this are discounted.
 K = 5
 END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0xE6546B64A5A5C3D7)
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 #: n-grams of order 1, 2, ... are kept from this count on (1 or 2).
 LEAST = (1, 1, 2)
 
