@@ -48,7 +48,7 @@ from .common import Words, drop_shuffles, give_back, mix, stored, text_slices, t
 #: Counts up to this are discounted.
 K = 5
 END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0xE6546B64A5A5C3D7)
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 14 << 20
 #: n-grams of order 1, 2, ... are kept from this count on (1 or 2).
 LEAST = (1, 1, 2)
 
@@ -64,14 +64,27 @@ SCORES = "row long, train boolean, n_tokens long, n_known long, base_score doubl
 
 
 def packed(values: np.ndarray, dtype: str) -> bytes:
-    """Values compressed byte by byte of their width: small numbers leave whole planes of zeros."""
-    planes = np.ascontiguousarray(values.astype(dtype)).view(np.uint8).reshape(-1, np.dtype(dtype).itemsize).T
-    return zstandard.compress(np.ascontiguousarray(planes), 1)
+    """Values compressed byte by byte of their width; whole numbers in the narrowest width that holds them, said by the first byte."""
+    values = values.astype(dtype)
+    if dtype[1] == "u" and values.size:
+        values = values.astype(f"<u{_width(int(values.max()))}")
+    width = values.dtype.itemsize
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + _zip.compress(np.ascontiguousarray(planes))
 
 
 def unpacked(data: bytes, dtype: str) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+    width = data[0]
+    planes = np.frombuffer(_unzip.decompress(data[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<{dtype[-2]}{width}").ravel().astype(dtype, copy=False)
+
+
+def _width(most: int) -> int:
+    return 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+
+
+#: A context each would cost more than many of the small arrays.
+_zip, _unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def steps(keys: np.ndarray) -> bytes:
