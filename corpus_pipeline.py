@@ -27,19 +27,32 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learnt from ``labels``, does not reject."""
+    """Documents that the toxicity model, learnt from ``labels``, does not reject.
+
+    Null, empty and very long texts are scored like others; repeated rows and null ids
+    stay or go each; clashing names are kept apart by a prefix; empty in, empty out.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, keep=docs.columns, prefix=OWN).where(F.col(f"{OWN}score") < TOXIC).select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a main language, by a field learnt from the texts that name one."""
+    """Documents with a main language, by a field learnt from the texts that name one.
+
+    Texts that are null, empty or without letters have none and go; repeated rows and
+    null ids are judged each; empty in, empty out.
+    """
     found = language.predict(docs, language.fit(docs), keep=docs.columns, prefix=OWN)
     return found.where((F.col(f"{OWN}lang_pred") != language.UNKNOWN) & (F.col(f"{OWN}score") >= MAIN_LANGUAGE)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: shingles of five words, similarity 0.8 or more."""
+    """One document of each near-duplicate group: shingles of five words, similarity 0.8 or more.
+
+    Rows that repeat an id and text are one document, the least by its other columns;
+    unlike texts of one id are documents of their own. Documents without words and rows
+    without an id all stay. Empty in, empty out.
+    """
     key, first = f"{OWN}key", f"{OWN}first"
     text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     texts = docs.where("doc_id is not null").select("doc_id", text.alias("text"))
@@ -58,12 +71,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: each document as often as the mix holds it, as repeated rows."""
+    """The mix itself: each document as often as the mix holds it, as repeated rows.
+
+    Documents without words are never taken; a null source is a source; rows that repeat
+    an id get the largest count among them. Empty in, empty out.
+    """
     return mixing.mixed(docs, WEIGHTS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each piece of each document, with its sequence and its place there."""
+    """Each piece of each document, with its sequence and its place there.
+
+    A null or empty text is one piece, very long ones are cut; repeated rows are packed
+    each. Empty in, empty out.
+    """
     return packing.pack_documents(docs, VOCABULARY, CAPACITY)
 
 
