@@ -7,9 +7,10 @@ and gives one nested row per capture.
 
 Records are rows of text until Spark's own writer makes the files, so the commit
 protocol, not this module, deals with lost executors; the line separator of the
-writer is the blank line that ends a WARC record. Reading parses whole files by
-Content-Length and never searches payloads for separators. A file holds a bounded
-number of captures.
+writer is the blank line that ends a WARC record. Reading goes by Content-Length:
+Spark's reader unpacks gzipped files and hands them on piece by piece, cut at blank
+lines wherever they are, and the pieces of a file are one stream of bytes again. So
+a worker holds a record at a time, however large the archive.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import itertools
 import re
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import new_path, stored, text_source
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -120,44 +122,82 @@ def opened(data: bytes) -> BinaryIO:
     return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
 
 
+class Pieces(io.RawIOBase):
+    """The bytes of a file, from what stands between its blank lines."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.left = pieces, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.left:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.left = memoryview(piece + END.encode())
+        n = min(len(buffer), len(self.left))
+        buffer[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
+SCHEMA = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("http_length", pa.int64()), ("payload_bytes", pa.int64()), ("page_id", pa.int64()), ("payload", pa.binary())])
+
+
+def parsed(stream: BinaryIO, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """The rows (RECORD) of an uncompressed WARC stream, about 8 MB of payloads at a time."""
+    rows, held = [], 0
+    for headers, block in parse(stream):
+        kind = headers.get("warc-type", "")
+        row = {"record_id": headers.get("warc-record-id"), "type": kind, "concurrent_to": headers.get("warc-concurrent-to"), "refers_to": headers.get("warc-refers-to"), "uri": headers.get("warc-target-uri"), "date": headers.get("warc-date"), "payload_digest": headers.get("warc-payload-digest", "").partition(":")[2] or None}
+        if kind in ("response", "revisit"):
+            head, _, body = block.partition(b"\r\n\r\n")
+            length = re.search(rb"(?i)\ncontent-length: *(\d+)", head)
+            row["http_length"] = int(length[1]) if length else None
+            row["payload_bytes"] = row["http_length"]
+            if kind == "response":
+                digest = hashlib.sha256(body).hexdigest()
+                if row["payload_digest"] not in (None, digest):
+                    raise ValueError(f"{row['record_id']}: the payload does not have its digest")
+                row |= {"payload_digest": digest, "payload_bytes": len(body), "payload": body if payloads else None}
+                held += len(body) * payloads
+        elif kind == "metadata" and (page := re.search(rb"(?m)^page-id: *(-?\d+)", block)):
+            row["page_id"] = int(page[1])
+        rows.append(row)
+        if len(rows) >= 3000 or held > 8 << 20:
+            yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+
+
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all WARC files below ``path``, gzipped or not (columns: RECORD).
+    """The records of all WARC files below ``path`` (columns: RECORD).
 
-    ``payload_bytes`` and ``payload_digest`` of a response come from the payload as
-    read, those of a revisit from its headers. Without ``payloads`` the payloads
-    themselves stay behind.
+    Gzipped files (``*.gz``, of any number of members) are read as streams; others
+    (``*.warc``, ``*.txt``) whole. ``payload_bytes`` and ``payload_digest`` of a response
+    come from the payload as read, those of a revisit from its headers. Without
+    ``payloads`` the payloads themselves stay behind. A record that is cut short, or is
+    none, is an error; no files give no rows.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("http_length", pa.int64()), ("payload_bytes", pa.int64()), ("page_id", pa.int64()), ("payload", pa.binary())])
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((file.as_py(), piece.as_py()) for batch in batches for file, piece in zip(batch.column("file"), batch.column("content")))
+        for _, of_file in itertools.groupby(pieces, lambda p: p[0]):
+            yield from parsed(io.BufferedReader(Pieces(piece for _, piece in of_file)), payloads)
+
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                rows, held = [], 0
-                for headers, block in parse(opened(content.as_py())):
-                    kind = headers.get("warc-type", "")
-                    row = {"record_id": headers.get("warc-record-id"), "type": kind, "concurrent_to": headers.get("warc-concurrent-to"), "refers_to": headers.get("warc-refers-to"), "uri": headers.get("warc-target-uri"), "date": headers.get("warc-date"), "payload_digest": headers.get("warc-payload-digest", "").partition(":")[2] or None}
-                    if kind in ("response", "revisit"):
-                        head, _, body = block.partition(b"\r\n\r\n")
-                        length = re.search(rb"(?i)\ncontent-length: *(\d+)", head)
-                        row["http_length"] = int(length[1]) if length else None
-                        row["payload_bytes"] = row["http_length"]
-                        if kind == "response":
-                            digest = hashlib.sha256(body).hexdigest()
-                            if row["payload_digest"] not in (None, digest):
-                                raise ValueError(f"{row['record_id']}: the payload does not have its digest")
-                            row |= {"payload_digest": digest, "payload_bytes": len(body), "payload": body if payloads else None}
-                            held += len(body) * payloads
-                    elif kind == "metadata" and (page := re.search(rb"(?m)^page-id: *(-?\d+)", block)):
-                        row["page_id"] = int(page[1])
-                    rows.append(row)
-                    if len(rows) >= 3000 or held > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{warc,txt,gz}").load(path)
-    return files.select("content").mapInArrow(run, RECORD)
+                yield from parsed(opened(content.as_py()), payloads)
+
+    below = spark.read.option("recursiveFileLookup", "true")
+    # gzipped files are never split, and a task reads one after the other
+    packed = below.option("pathGlobFilter", "*.gz").option("lineSep", END).text(path)
+    packed = text_source(packed, F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("content"))
+    plain = below.format("binaryFile").option("pathGlobFilter", "*.{warc,txt}").load(path).select("content")
+    return packed.mapInArrow(streams, RECORD).unionByName(plain.mapInArrow(wholes, RECORD))
 
 
 def assemble(found: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicates, packing, mixing, archives, neighbours, fingerprints."""
 
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -279,6 +280,27 @@ def test_archives_round_trip(spark, tmp_path):
     assert not any("Evil" in name for r in whole for name in r.asDict())
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """Any payload, a gzip member a record or a file, no gzip; many files to a task."""
+    bodies = [b"", b"\r\n", b"\r\n\r\n", b"a\r\n\r\n\r\nb\r\n", b"\xff\xfe\r\n\r", b"\r\n\r\nWARC/1.1\r\n", b"x" * 3_000_000, b"\r\n\r\n" * 5000, b"\n\n", b"\r"]
+
+    def record(name, body):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {name}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    files = {kind: [record(f"{kind}{i}", body) for i, body in enumerate(bodies)] for kind in "abc"}
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, files["a"])))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(files["b"])))
+    (tmp_path / "c.warc").write_bytes(b"".join(files["c"]))
+    found = warc.read(spark, str(tmp_path)).collect()
+    assert sorted((r["record_id"], bytes(r["payload"])) for r in found) == sorted((f"{kind}{i}", body) for kind in "abc" for i, body in enumerate(bodies))
+    # what is missing at the end of a file is not taken from the next one
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(files["b"])[:-9]))
+    with pytest.raises(Exception, match="cut short"):
+        warc.read(spark, str(tmp_path)).collect()
+
+
 def test_records_are_joined_by_concurrent_to(spark):
     rows = [("r1", "response", None), ("q1", "request", "r1"), ("m1", "metadata", "r1"), ("r2", "response", None), ("q9", "request", "gone")]
     df = spark.createDataFrame([(i, t, c, None, "u", "d", "x", 1, 1, None, None) for i, t, c in rows], warc.RECORD)
