@@ -12,6 +12,7 @@ scoring costs one table look-up per distinct word of a batch.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import Words, give_back, gram_sums, letters_only, ngram_table, sampled, text_slices, text_source
 
 SIZES = (3, 4, 5, 6)
+#: Windows of a mini-batch.
+BATCH = 256
 
 
 class SubwordSoftmax:
@@ -97,10 +100,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
-def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 17, width: int = 4, window: int = 8, epochs: int = 2, rate: float = 0.5, scale: float = 24.0, seed: int = 7, prior: float | None = None) -> SubwordSoftmax:
+def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 17, width: int = 4, window: int = 8, epochs: int = 2, steps: int = 1250, rate: float = 0.5, scale: float = 24.0, seed: int = 7, prior: float | None = None) -> SubwordSoftmax:
     """Joint training by mini-batch Adagrad in numpy.
 
-    All windows of the texts are used, and carry their text's label. Embeddings and softmax learn from half of the texts
+    All windows of the texts are used, and carry their text's label. They are gone
+    through ``epochs`` times, more often where that makes fewer than ``steps``
+    mini-batches of all: few windows need as many steps as many do. Embeddings and softmax learn from half of the texts
     each time, and the reading of window log odds is fitted on the other half, so
     that it sees odds of texts that were not learnt by heart; the final embeddings
     learn from all. ``prior`` is the share of class 1 in the population: the
@@ -113,6 +118,9 @@ def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 17, width: i
     half = np.arange(len(texts)) % 2
     evidence, seen = np.zeros((len(texts), 4)), []
     everything = pa.array(texts, pa.large_string())
+    windows = len(window_edges(Words(everything).counts, window)[0])
+    # the halves are gone through as often as the whole, so that their odds are as large
+    epochs = max(epochs, math.ceil(steps * BATCH / max(windows, BATCH)))
     for k in (0, 1):
         inner = np.flatnonzero(half != k)
         if len(set(labels[inner])) < 2:
@@ -150,7 +158,7 @@ def _embed(texts: pa.Array, labels: np.ndarray, buckets: int, width: int, window
     table_sq, head_sq = np.full(buckets, 1e-3, np.float32), np.full((width, 2), 1e-3, np.float32)
     bias_sq = np.full(2, 1e-3, np.float32)
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(edges)), max(1, len(edges) // 256)):
+        for part in np.array_split(rng.permutation(len(edges)), max(1, len(edges) // BATCH)):
             sizes = ends[part] - edges[part]
             code = codes[_spans(edges[part], sizes)]
             span = grams[code]
