@@ -6,13 +6,16 @@ Parquet and read again as the next stage's ``docs``.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
 from eventide.llm import language, minhash, mixing, packing, toxicity
-from eventide.llm.common import stored
+from eventide.llm.common import give_back_heap, stored
 
 #: A document whose toxicity score reaches this goes.
 TOXIC = 0.5
@@ -26,6 +29,21 @@ OWN = "stage__"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def lean(stage: Stage) -> Stage:
+    """The stage, begun once executors have given back the heap that the stage before it grew."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back_heap(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@lean
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from ``labels``, does not reject.
 
@@ -36,6 +54,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.score(docs, model, keep=docs.columns, prefix=OWN).where(F.col(f"{OWN}score") < TOXIC).select(*docs.columns)
 
 
+@lean
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language, by a field learnt from the texts that name one.
 
@@ -46,6 +65,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col(f"{OWN}lang_pred") != language.UNKNOWN) & (F.col(f"{OWN}score") >= MAIN_LANGUAGE)).select(*docs.columns)
 
 
+@lean
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: shingles of five words, similarity 0.8 or more.
 
@@ -70,6 +90,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+@lean
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: each document as often as the mix holds it, as repeated rows.
 
@@ -79,6 +100,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mixed(docs, WEIGHTS)
 
 
+@lean
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each piece of each document, with its sequence and its place there.
 

@@ -117,6 +117,19 @@ def give_back() -> None:
         return
 
 
+def give_back_heap(spark: SparkSession) -> None:
+    """Have every executor collect its garbage and return the heap it has grown but does not hold.
+
+    A JVM keeps the largest heap that it ever needed until a full collection, beside
+    the Python workers of whatever runs next. One task to a core asks for it, and again
+    once buffers that the first collection has let go of are free; results do not depend on it.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    asked = spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")))
+    for _ in range(2):
+        asked.write.format("noop").mode("overwrite").save()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each has about ``size`` bytes of text, or one row."""
     for batch in batches:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, stored, text_slices, text_source
+from .common import Words, give_back_heap, mix, stored, text_slices, text_source
 from .components import components
 
 ROWS = 8
@@ -221,11 +221,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("bucket", "leader")
     members = stored(buckets.join(leaders, "bucket").select("bucket", "rep", "weight", "leader"), "members")
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    give_back_heap(documents.sparkSession)
     pairs = stored(members.where("rep <> leader").groupBy("leader", F.col("rep").alias("id"), "weight").agg(F.count("*").alias("bands")), "pairs")
     nearest = pairs.groupBy("id").agg(F.max_by(F.struct("leader", "weight"), F.struct("bands", -F.col("leader"))).alias("p")).select("p.leader", "id", "p.weight")
     links = stored(linked_stars(with_texts(deal_stars(nearest, block, shingles), texts), size, percent), "star-links")
+    give_back_heap(documents.sparkSession)
     others = still_apart(pairs, components(links)).join(nearest, ["leader", "id"], "left_anti")
     links = links.unionByName(stored(linked_stars(with_texts(deal_stars(others, block, shingles), texts), size, percent), "star-links"))
+    give_back_heap(documents.sparkSession)
     tiles = deal_tiles(members, components(links), block, shingles)
     links = stored(links.unionByName(linked_tiles(with_texts(tiles, texts), size, percent)), "links")
     joined = components(links)

@@ -86,3 +86,15 @@ def test_awkward_rows(spark, awkward, nothing, tmp_path):
         if name == "near_duplicates":
             ids = [r["doc_id"] for r in found.collect()]
             assert sorted(x for x in ids if x) == [1, 2, 3, 4, 5, 6, 7, 8, 10] and ids.count(None) == 1
+
+
+@pytest.mark.parametrize("name, stage", pipeline.STAGES)
+def test_stages_do_not_keep_the_heap_of_those_before(spark, nothing, tmp_path, name, stage):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    memory, gateway = spark._jvm.java.lang.Runtime.getRuntime(), spark.sparkContext._gateway
+    held = [spark._jvm.java.nio.ByteBuffer.allocate(64 << 20) for _ in range(32)]
+    grown = memory.totalMemory()
+    for buffer in held:
+        gateway.detach(buffer)
+    assert stage(spark, nothing, str(tmp_path)).isEmpty()
+    assert memory.totalMemory() < grown / 2
