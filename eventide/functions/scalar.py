@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 #: What an unknown or unreadable birth date counts as.
 UNKNOWN_AGE = 100
 
+#: Years of more than four digits, which Spark's pattern reads only after a sign and only as far as its timestamps go.
+_FAR = "^[+]?([0-9]{5,})-[0-9]{2}-[0-9]{2}$"
+# such a date exists if that of the year's last four digits does: the calendar repeats every 400 years
+_BORN = f"if(length(dob) > 10 and dob rlike '{_FAR}', if(try_to_timestamp(right(dob, 10), 'yyyy-MM-dd') is null, null, try_cast(regexp_extract(dob, '{_FAR}', 1) as double)), year(try_to_timestamp(dob, 'yyyy-MM-dd')))"
+
 # SQL bodies, so that Columns and SQL functions cannot differ
 _BODIES = {
     # the local time of the epoch plus ms is UTC whatever the session's zone
     "UnixTime": ("ts BIGINT, fmt STRING", "STRING", "if(fmt is null, raise_error('UnixTime needs a format'), date_format(timestampadd(MILLISECOND, ts, TIMESTAMP_NTZ'1970-01-01 00:00:00'), fmt))"),
-    "GetAge": ("ts BIGINT, dob STRING", "INT", f"case when try_to_timestamp(dob, 'yyyy-MM-dd') is null then {UNKNOWN_AGE} when ts is null then null else greatest(year(timestampadd(MILLISECOND, ts, TIMESTAMP_NTZ'1970-01-01 00:00:00')) - year(try_to_timestamp(dob, 'yyyy-MM-dd')), 0) end"),
+    "GetAge": ("ts BIGINT, dob STRING", "INT", f"case when {_BORN} is null then {UNKNOWN_AGE} when ts is null then null else cast(greatest(year(timestampadd(MILLISECOND, ts, TIMESTAMP_NTZ'1970-01-01 00:00:00')) - {_BORN}, 0) as int) end"),
     "NormalizeName": ("s STRING", "STRING", "replace(lower(coalesce(s, '')), ' ', '')"),
 }
 
@@ -28,8 +33,11 @@ def unix_time(ts: Column, fmt: Column | str) -> Column:
 
 
 def get_age(ts: Column, dob: Column) -> Column:
-    """Year of ``ts`` less year of birth (yyyy-MM-dd), at least 0; 100 for a birth date that cannot be read."""
-    born = F.year(F.try_to_timestamp(dob, F.lit("yyyy-MM-dd")))
+    """Year of ``ts`` less year of birth (yyyy-MM-dd, the year of four digits or more), at least 0; 100 for a birth date that cannot be read."""
+    pattern = F.lit("yyyy-MM-dd")
+    exists = F.try_to_timestamp(F.right(dob, F.lit(10)), pattern).isNotNull()
+    far = F.when(exists, F.regexp_extract(dob, _FAR, 1).try_cast("double"))
+    born = F.when((F.length(dob) > 10) & F.rlike(dob, F.lit(_FAR)), far).otherwise(F.year(F.try_to_timestamp(dob, pattern)))
     return F.when(born.isNull(), UNKNOWN_AGE).when(ts.isNull(), F.lit(None)).otherwise(F.greatest(F.year(_epoch(ts)) - born, F.lit(0))).cast("int")
 
 

@@ -49,6 +49,24 @@ def test_functions(spark):
         spark.sql("select UnixTime(100, null)").collect()
 
 
+def test_years_of_birth_of_more_than_four_digits(spark):
+    year_12000 = 316_516_204_800_000
+    dates = ["11950-06-15", "+11950-06-15", "12000-02-29", "300000-01-01", "9" * 30 + "-01-01", "11950-02-29", "11950-13-01", "x11950-06-15", "11950-06-15x"]
+    wanted = (50, 50, 0, 0, 0, 100, 100, 100, 100)
+    register(spark)
+    assert tuple(one(spark, *[get_age(F.lit(year_12000), F.lit(d)).alias(f"c{i}") for i, d in enumerate(dates)])) == wanted
+    assert tuple(one(spark, *[F.expr(f"GetAge({year_12000}, '{d}')").alias(f"c{i}") for i, d in enumerate(dates)])) == wanted
+    assert one(spark, get_age(F.lit(year_12000), F.expr("date'2000-01-01'")).alias("a"))["a"] == 10000
+
+
+def test_age_of_many_odd_and_missing_users(spark, tmp_path):
+    users = "(values (null), (-2), (-1), (0), (1), (2), (71), (74), (8048), (8051), (89999), (5879630), (1000000000001)) u(user_id)"
+    times = "(values (timestamp '2024-01-30 10:00:00.000001'), (timestamp '1969-12-31 23:59:59.999999'), (timestamp '9999-12-31'), (null)) t(ts)"
+    con = oracle.connect(str(tmp_path))
+    con.execute(f"copy (select row_number() over () as event_id, ts, cast(user_id as bigint) as user_id from {users}, {times}) to '{tmp_path}/events.parquet'")
+    assert oracle.assert_same(catalog.QUERIES["fn_get_age"](spark, str(tmp_path)), oracle.connect(str(tmp_path)), catalog.ORACLE_SQL["fn_get_age"]) == 52
+
+
 def test_functions_do_not_depend_on_the_zone(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:
